@@ -25,6 +25,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), TOKEN_LIMIT)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on the labels of two thirds of the ids, held out on the last third; a null id teaches nothing."""
     from tessera.llm.language_id import fit, identify
@@ -41,6 +47,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_index import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
