@@ -161,8 +161,9 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     while bits < MOST_SHARD_BITS and total >> bits > SHARD:
         bits += 1
     masks = [0] + [1 << i for i in range(bits)] + [1 << i | 1 << j for i in range(bits) for j in range(i)]
-    top = F.shiftrightunsigned(fp, BITS - bits) if bits else F.lit(0).cast("long")
-    dealt = distinct.select(F.col(fp).alias("fp"), F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: m.bitwiseXOR(top))).alias("shard"))
+    own = distinct.select(F.col(fp).cast("long").alias("fp"))
+    top = F.shiftrightunsigned(own.fp, BITS - bits) if bits else F.lit(0).cast("long")
+    dealt = own.select("fp", F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: m.bitwiseXOR(top))).alias("shard"))
 
     def run(batches):
         held: list[np.ndarray] = []
