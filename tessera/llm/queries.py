@@ -41,6 +41,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.permutation_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), 10, "vec_id % 100 = 0")
+
+
+def op7_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pigeonhole import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
