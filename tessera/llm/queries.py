@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quotes import link_quotations
+
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"), with_payload=False).drop("url")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
