@@ -67,7 +67,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
     unsigned 32-bit integers; ``ids`` holds them as an array and ``decoded`` the bytes they decode to.
     """
     kind = docs.schema[key].dataType.simpleString()
-    more = [("ids", pa.list_(pa.int64())), ("decoded", pa.binary())] if with_ids else []
+    more = [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *more]
 
     def run(batches):
@@ -79,7 +79,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
                 rows.append((len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), *([ids, raw] if with_ids else [])))
             yield arrow_batch([(key, part.schema.field(key).type), *fields], [part.column(key), *map(list, zip(*rows))])
 
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * with_ids
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return map_arrow(docs.select(key, text), run, schema)
 
 

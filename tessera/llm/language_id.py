@@ -164,11 +164,13 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     no language. Rows are independent, so repeated rows and keys and null keys make no difference.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    read = text if text in keep else "__text"
+    chosen = docs if read == text else docs.withColumn(read, F.col(text))
+    chosen = chosen.select(*dict.fromkeys([*keep, read]))
 
     def run(batches):
-        for part in pieces(batches, "__text"):
-            said = [sent.value.predict(x) for x in part.column("__text").to_pylist()]
+        for part in pieces(batches, read):
+            said = [sent.value.predict(x) for x in part.column(read).to_pylist()]
             yield arrow_batch(
                 [*((k, part.schema.field(k).type) for k in keep), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())],
                 [*(part.column(k) for k in keep), *map(list, zip(*said))],

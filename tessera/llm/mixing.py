@@ -48,9 +48,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float =
     both are taken or left together. A null or empty text has size 0; a null source is a source of its own, the last; no
     documents give no rows.
     """
-    rows = docs.select(F.col(key), F.col(source).alias("source"), F.xxhash64(key, text).alias("place"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-    rows = saved(rows, "sizes")
-    spark = docs.sparkSession
+    rows = saved(docs.select(key, F.col(source).alias("source"), _place(key, text).alias("place"), _size(text).alias("size")), "sizes")
+    out = _copied(rows, plan(rows, weights, factor, most))
+    return out.select(key, "source", "place", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as :func:`mix` has copies of it."""
+    rows = saved(docs.select(F.col(source).alias("source"), _place(key, text).alias("place"), _size(text).alias("size")), "sizes")
+    side = plan(rows, weights, factor, most)
+    placed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), _place(key, text).alias("place"))
+    out = _copied(placed, side).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def _place(key: str, text: str):
+    return F.xxhash64(key, text)
+
+
+def _size(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...], factor: float, most: float) -> DataFrame:
+    """(s, source_size, target, base, left, edge, extra) by source for ``rows`` (source, place, size): the whole copies of
+    all, and the threshold and the one document above it for one copy more."""
+    spark = rows.sparkSession
     # one row for each source: as long as the list of weights itself
     sizes = {r.source: r.size for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     want = targets(sizes, weights, factor * sum(sizes.values()), most) if sizes else {}
@@ -58,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float =
     for x, n in sizes.items():
         k = min(int(want[x] // n), int(most)) if n else 0
         plan.append((x, int(n), want[x], k, want[x] - k * n))
-    kind = docs.schema[source].dataType
+    kind = rows.schema["source"].dataType
     fields = [T.StructField("source", kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("base", T.IntegerType()), T.StructField("left", T.DoubleType())]
     plans = spark.createDataFrame(plan, T.StructType(fields))
 
@@ -85,10 +108,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float =
     above = rows.join(last, rows.source.eqNullSafe(last.s)).where((place >= F.col("edge")) & (F.abs(F.col("size") - F.col("rest")) < F.col("rest")))
     extra = above.groupBy("s", "edge").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), "place")).place.alias("extra"))
     extra = saved(last.join(extra.select(F.col("s").alias("t"), "extra"), F.col("s").eqNullSafe(F.col("t")), "left").select("s", "edge", "extra"), "extra")
-    side = plans.join(extra, plans.source.eqNullSafe(extra.s), "left").drop("s").withColumnRenamed("source", "s")
+    # written, so that its size is known and the join to it can be a broadcast where that is small
+    return saved(plans.join(extra, plans.source.eqNullSafe(extra.s), "left").drop("s").withColumnRenamed("source", "s"), "plan")
+
+
+def _copied(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """``rows`` (source, place) with their source's plan and the number of copies."""
+    place = F.shiftrightunsigned("place", 64 - BITS * LEVELS)
     more = F.coalesce((place < F.col("edge")) | (F.col("place") == F.col("extra")), F.col("edge").isNotNull() & (place < F.col("edge")), F.lit(False))
-    out = rows.join(side, rows.source.eqNullSafe(side.s)).withColumn("copies", F.col("base") + F.when(more, 1).otherwise(0))
-    return out.select(key, "source", "place", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return rows.join(side, rows.source.eqNullSafe(side.s)).withColumn("copies", F.col("base") + F.when(more, 1).otherwise(0))
 
 
 def _same(level: int):

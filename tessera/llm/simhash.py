@@ -50,16 +50,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint of each row's whole text as a signed long; a null text has no words, so zero."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(key, fp[, carry]): the fingerprint of each row's whole text as a signed long; a null text has no words, so zero."""
+    keep = [key, *([carry] if carry else [])]
 
     def run(batches):
         for part in pieces(batches, text):
             fps = np.array([fingerprint(x) for x in part.column(text).to_pylist()], dtype=np.uint64)
-            yield arrow_batch([(key, part.schema.field(key).type), ("fp", pa.int64())], [part.column(key), pa.array(fps.view(np.int64))])
+            yield arrow_batch([*((c, part.schema.field(c).type) for c in keep), ("fp", pa.int64())], [*(part.column(c) for c in keep), pa.array(fps.view(np.int64))])
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(docs.select(*keep, text), run, f"{kinds}, fp long")
 
 
 # Two fingerprints x, y at 1 to 3 differing bits share a variant z with d(x, z) + d(y, z) = d(x, y). It is enough to look
@@ -189,15 +190,28 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return map_arrow(dealt.repartition(n, "shard").sortWithinPartitions("shard"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) for each row of ``docs``.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each component does: the one of the smallest key, of equal keys
+    the one whose text has the least hash. Rows alike in key and text are one document."""
+    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    found = near_duplicates(hashed.select(key, text, "__hash"), key, text, carry="__hash")
+    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("__hash").alias("h"))).alias("s"))
+    # components without any key have a null id in common; there each text is a document
+    alone = found.where("component_id is null").select(F.col(key).alias("k"), F.col("__hash").alias("h")).distinct()
+    stay = saved(stay.where("component_id is not null").select("s.k", "s.h").unionByName(alone), "stay")
+    rows = hashed.join(stay, hashed[key].eqNullSafe(stay.k) & (hashed["__hash"] == stay.h), "left_semi")
+    return rows.dropDuplicates([key, "__hash"]).drop("__hash")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(key, fingerprint, component_id[, carry]) for each row of ``docs``.
 
     Fingerprints link at RADIUS or fewer differing bits, and a component is all that links reach; its id is the smallest
     key in it. Rows of the same fingerprint are one node, whatever their number, and the null, empty and wordless texts
     are all of fingerprint zero, which links as any other. Null keys name no component: theirs is the smallest other
     key, or null. Repeated rows come out as often as they come in; no rows give none; other columns are left.
     """
-    own = saved(fingerprints(docs, key, text), "fingerprints")
+    own = saved(fingerprints(docs, key, text, carry), "fingerprints")
     nodes = saved(own.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     edges = saved(link_fingerprints(nodes), "links")
     member = connected_components(edges)
@@ -206,4 +220,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = joined.join(least, "component").select("fp", F.col("component_least").alias("least"))
     names = saved(nodes.join(named.select("fp", F.col("least").alias("other")), "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id")), "names")
     discard(nodes, edges, joined)
-    return own.join(names, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(names, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([carry] if carry else []))

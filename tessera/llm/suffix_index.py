@@ -477,13 +477,13 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
-    """``keep`` with n_bytes, n_removed, n_spans, kept_sha256[, kept]: the text's bytes without those that a string of
+    """``keep`` with n_bytes, n_removed, n_spans, kept_sha256[, kept, kept_text]: the text's bytes without those that a string of
     LENGTH bytes covers which also starts earlier.
 
     Earlier is: in a text of smaller key, or in the same text further left. A null text counts as empty, a null key as
     the largest. Rows of one key and different texts are told apart, and ordered, by a checksum of the text; rows alike
     in both are one text, so neither repeats the other. Texts under LENGTH bytes, and no rows, come out as they are.
-    ``kept`` is the bytes that are left, which may lack part of a character.
+    ``kept`` is the bytes that are left, which may lack part of a character, and ``kept_text`` the whole characters of it.
     """
     at = {c: f"keep_{i}" for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in at.items()), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
@@ -500,11 +500,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: st
                 start, end = merged_spans(pairs[:, 0], pairs[:, 1])
                 cuts = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                out.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
+                out.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), *([kept, kept.decode(errors="ignore")] if with_bytes else [])))
             yield arrow_batch(
-                [*((c, part.schema.field(n).type) for c, n in at.items()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_bytes else [])],
+                [*((c, part.schema.field(n).type) for c, n in at.items()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary()), ("kept_text", pa.string())] if with_bytes else [])],
                 [*(part.column(n) for n in at.values()), *map(list, zip(*out))],
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(joined, run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return map_arrow(joined, run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_bytes)
