@@ -31,7 +31,7 @@ def cited_entity_names(citations: DataFrame) -> DataFrame:
     """(query_id, names): entity names of the cited chunks, once each, in order."""
     rows = citations.select("query_id", "ordinal", F.posexplode("entities").alias("at", "e"))
     first = rows.groupBy("query_id", F.col("e.name").alias("name")).agg(F.min(F.struct("ordinal", "at")).alias("o"))
-    return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x.name).alias("names"))
+    return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]).alias("names"))
 
 
 def reference_list(citations: DataFrame) -> DataFrame:

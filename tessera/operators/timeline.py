@@ -10,12 +10,12 @@ from tessera.functions import text as X
 from tessera.sources.scratch import saved
 
 
-def slide_intervals(slides: DataFrame, segments: DataFrame | None = None, video: str = "video_name", start: str = "start_time") -> DataFrame:
+def slide_intervals(slides: DataFrame, segments: DataFrame | None = None, video: str = "video_name", start: str = "start_time", order: tuple[str, ...] = ()) -> DataFrame:
     """``slides`` with end_time: the next slide's start; for a video's last, the end of its speech, else its own start.
 
     A video's slides are as many as it has cuts, so its window is small however many videos there are.
     """
-    out = slides.withColumn("end_time", F.lead(start).over(W.partitionBy(video).orderBy(start)))
+    out = slides.withColumn("end_time", F.lead(start).over(W.partitionBy(video).orderBy(start, *order)))
     if segments is None:
         return out.withColumn("end_time", F.coalesce("end_time", start))
     last = segments.groupBy(F.col(video).alias("__video")).agg(F.max("end").alias("__last"))
