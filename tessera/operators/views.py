@@ -30,9 +30,10 @@ def graph_links(relationships: DataFrame, entities: DataFrame) -> DataFrame:
 
 def induced(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links with both ends among ``nodes`` (node)."""
+    out = links
     for end in ("source", "target"):
-        links = links.join(nodes.select(F.col("node").alias(end)).distinct(), end, "left_semi")
-    return links
+        out = out.join(nodes.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+    return out.select(*links.columns)
 
 
 def visible(links: DataFrame, nodes: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:

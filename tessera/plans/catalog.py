@@ -514,19 +514,19 @@ def eval_scores(t):
     return evaluate.scores(_cases(t)).select("case_id", "metric", "score", "passed")
 
 
-@query(f"WITH {_CASES} SELECT metric, round(avg(score), 4) AS average, round(avg(CAST(passed AS INT)), 4) AS pass_rate, count(*) AS cases FROM long WHERE error IS NULL GROUP BY metric")
+@query(f"WITH {_CASES} SELECT metric, round(avg(score), 6) AS average, round(avg(CAST(passed AS INT)), 6) AS pass_rate, count(*) AS cases FROM long WHERE error IS NULL GROUP BY metric")
 def eval_aggregate(t):
-    return evaluate.metric_summary(evaluate.scores(_cases(t))).select("metric", F.round("average", 4).alias("average"), F.round("pass_rate", 4).alias("pass_rate"), "cases")
+    return evaluate.metric_summary(evaluate.scores(_cases(t)))
 
 
-@query(f"WITH {_CASES} SELECT coalesce(query_type, 'unknown') AS query_type, count(*) AS cases, round(avg(overall), 4) AS average FROM cases WHERE error IS NULL GROUP BY 1")
+@query(f"WITH {_CASES} SELECT coalesce(query_type, 'unknown') AS query_type, count(*) AS cases, round(avg(overall), 6) AS average FROM cases WHERE error IS NULL GROUP BY 1")
 def eval_by_type(t):
-    return evaluate.by_group(evaluate.case_scores(evaluate.scores(_cases(t))), "query_type").withColumn("average", F.round("average", 4))
+    return evaluate.by_group(evaluate.case_scores(evaluate.scores(_cases(t))), "query_type")
 
 
-@query(f"WITH {_CASES} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, round(avg(overall) FILTER (error IS NULL), 4) AS overall FROM cases")
+@query(f"WITH {_CASES} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, round(avg(overall) FILTER (error IS NULL), 6) AS overall FROM cases")
 def eval_report(t):
-    return evaluate.report(evaluate.case_scores(evaluate.scores(_cases(t)))).withColumn("overall", F.round("overall", 4))
+    return evaluate.report(evaluate.case_scores(evaluate.scores(_cases(t))))
 
 
 def _testset(t: Tables) -> DataFrame:
