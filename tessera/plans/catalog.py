@@ -15,6 +15,7 @@ from tessera.plans import flows
 from tessera.plans.fixtures import ASKED, ENTITIES, HITS, HOP1, NAMES, PAIRS, RECORDS, SPEECH, Tables
 from tessera.sources import sinks
 from tessera.sources.scratch import saved
+from tessera.sources.shipping import ship
 from tessera.streaming import events
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,11 @@ def query(sql: str | None = None):
     """Registers a query over :class:`Tables`, with its SQL where that can express it."""
 
     def wrap(f: Callable[[Tables], DataFrame]):
-        _queries[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, sf_dir))
+
+        _queries[f.__name__] = run
         if sql:
             _sql[f.__name__] = sql
         return f

@@ -12,6 +12,7 @@ from tessera.operators import answer, chunk, communities, evaluate, extract, gra
 from tessera.sources import sinks
 from tessera.sources.readers import Settings
 from tessera.sources.scratch import saved
+from tessera.sources.shipping import ship
 
 
 @dataclass
@@ -26,6 +27,7 @@ class Index:
 
 def build_index(records: DataFrame, options: Settings | None = None, method: str = "components") -> Index:
     """Records (with ``ord``) to text units, entities, relationships, communities and vectors. Every stage is written."""
+    ship(records.sparkSession)
     o = options or Settings()
     units = chunk.text_units(sinks.texts(records).select("source_file", "body", "source_video", "start_time", "end_time", "slide_image"), o.chunk_size, o.overlap)
     units = saved(units.withColumn("ord", F.struct("source_file", "i")), "units")
@@ -42,6 +44,7 @@ def build_index(records: DataFrame, options: Settings | None = None, method: str
 
 def ask(index: Index, questions: DataFrame, options: Settings | None = None, meetings: list[str] = ()) -> dict[str, DataFrame]:
     """Answers of a batch of ``questions`` (query_id, query): classified, searched, organised, answered and cited."""
+    ship(questions.sparkSession)
     o = options or Settings()
     rows = questions.withColumn("query_type", X.classify_query("query")).withColumn("vector", vectors.hashed_embedding(F.col("query")))
     k = 2 * o.top_k if meetings else o.top_k
