@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.shipping import ship
+
 #: Rows of an Arrow batch are cut into pieces of about so many bytes of text, which bounds a worker's memory.
 PIECE_BYTES = 4 << 20
 
@@ -71,6 +73,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
