@@ -195,21 +195,19 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     the one whose text has the least hash. Rows alike in key and text are one document."""
     hashed = docs.withColumn("__hash", F.xxhash64(text))
     found = near_duplicates(hashed.select(key, text, "__hash"), key, text, carry="__hash")
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("__hash").alias("h"))).alias("s"))
-    # components without any key have a null id in common; there each text is a document
-    alone = found.where("component_id is null").select(F.col(key).alias("k"), F.col("__hash").alias("h")).distinct()
-    stay = saved(stay.where("component_id is not null").select("s.k", "s.h").unionByName(alone), "stay")
+    least = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("__hash").alias("h"))).alias("s")
+    stay = saved(found.groupBy("component").agg(least).select("s.k", "s.h"), "stay")
     rows = hashed.join(stay, hashed[key].eqNullSafe(stay.k) & (hashed["__hash"] == stay.h), "left_semi")
     return rows.dropDuplicates([key, "__hash"]).drop("__hash")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
-    """(key, fingerprint, component_id[, carry]) for each row of ``docs``.
+    """(key, fingerprint, component_id[, component, carry]) for each row of ``docs``.
 
     Fingerprints link at RADIUS or fewer differing bits, and a component is all that links reach; its id is the smallest
     key in it. Rows of the same fingerprint are one node, whatever their number, and the null, empty and wordless texts
     are all of fingerprint zero, which links as any other. Null keys name no component: theirs is the smallest other
-    key, or null. Repeated rows come out as often as they come in; no rows give none; other columns are left.
+    key, or null. Repeated rows come out as often as they come in; no rows give none; other columns are left. ``component`` is the component's least fingerprint.
     """
     own = saved(fingerprints(docs, key, text, carry), "fingerprints")
     nodes = saved(own.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
@@ -217,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     member = connected_components(edges)
     joined = saved(nodes.join(member, nodes.fp == member.node).select("fp", "least", "component"), "members")
     least = joined.groupBy("component").agg(F.min("least").alias("component_least"))
-    named = joined.join(least, "component").select("fp", F.col("component_least").alias("least"))
-    names = saved(nodes.join(named.select("fp", F.col("least").alias("other")), "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id")), "names")
+    named = joined.join(least, "component").select("fp", F.col("component_least").alias("other"), "component")
+    names = saved(nodes.join(named, "fp", "left").select("fp", F.coalesce("other", "least").alias("component_id"), F.coalesce("component", "fp").alias("component")), "names")
     discard(nodes, edges, joined)
-    return own.join(names, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([carry] if carry else []))
+    return own.join(names, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["component", carry] if carry else []))
