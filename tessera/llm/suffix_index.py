@@ -385,7 +385,7 @@ def send_strings(batches, shards: int):
                 strings = strings_of(out[pick], data, start[pick], prefix_sums(data))
                 strings = strings[by_position(strings)]
                 repeats, firsts = _repeated(strings)
-                rows += [(s, KIND_SPANS, *x) for s, x in ((0, x) for x in _string_spans(repeats))]
+                rows += [(hash(x[:2]) % shards, KIND_SPANS, *x) for x in _string_spans(repeats)]
                 rows += [(s, KIND_STRINGS, None, None, packed(part)) for s, part in by_shard(firsts, "run", shards)]
         runs = np.concatenate(runs) if runs else np.empty(0, dtype=RUN)
         if len(runs):
