@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.sources.shipping import ship
 
 #: Rows of an Arrow batch are cut into pieces of about so many bytes of text, which bounds a worker's memory.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -72,9 +74,31 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
             at = to
 
 
+#: Bytes of an Arrow batch between Spark and a worker, where the session has Spark's own default of 64 MB.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with the package at hand, small batches, and a worker that gives memory back when a task ends."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_CONF, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Workers live on between tasks; what the allocators keep would count against the executor meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:

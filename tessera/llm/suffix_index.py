@@ -29,7 +29,7 @@ SPAN = LENGTH - K + 1
 #: Bytes that are cut into runs at a time; positions in them take 20 bits of a sort key.
 BLOCK = (1 << 20) - 2 * LENGTH
 #: Suffixes of a batch; text bytes of a shard; suffixes that a map task keeps before it sends them on.
-BATCH, SHARD_BYTES, HELD = 1 << 16, 48 << 20, 1 << 20
+BATCH, SHARD_BYTES, HELD = 1 << 16, 24 << 20, 1 << 19
 #: An anchor with more different runs than this has their strings dealt out by content instead of by anchor.
 WIDE = 256
 
