@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from tessera.llm.common import saved
 
 #: Buckets of a histogram are 2 ** BITS; so many levels are refined, which takes up LEVELS * BITS bits of the hash.
-BITS, LEVELS = 10, 5
+BITS, LEVELS = 12, 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
