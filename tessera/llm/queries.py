@@ -109,6 +109,17 @@ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.l
 reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
 least AS (SELECT x, min(y) AS y FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, least.y), vec_id) AS component_id, vec_id = coalesce(least(vec_id, least.y), vec_id) AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id""",
+    "op9_suffix_index": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS i, md5(b[i:i + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM f WHERE nth > 1),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 99 AS z FROM k GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, a, z FROM s UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) FROM d),
+keep AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) + 1 AS since FROM cuts)
+SELECT doc_id, CAST(any_value(octet_length(b)) AS BIGINT) AS n_bytes, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(CASE WHEN a > since THEN hex(b[since:a - 1]) ELSE '' END, '' ORDER BY a, z))) AS kept_sha256
+FROM keep JOIN d USING (doc_id) GROUP BY doc_id""",
 }
 
 
