@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.sources.scratch import saved
+from tessera.sources.scratch import once, saved
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,13 @@ def adjacency(relationships: DataFrame, key: str = "lower") -> DataFrame:
 def expand(adjacent: DataFrame, seeds: DataFrame, hops: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, node, score) of what ``seeds`` (by, node) reach in ``hops``: 1 for a seed; for a node first reached at hop h the
     best of its neighbours' scores times the weight relative to the largest, times one half for each hop before."""
+    adjacent = once(adjacent, "adjacent")
     most = adjacent.agg(F.max("weight")).first()[0] or 1.0
     share = adjacent.select(F.col("node").alias("at"), "neighbour", (F.col("weight") / F.lit(most)).alias("share"))
     seen = seeds.select(*by, "node").distinct().withColumn("score", F.lit(1.0))
     frontier = seen
     for hop in range(hops):
+        frontier = once(frontier, "frontier") if hop else frontier
         step = frontier.join(share, frontier.node == share.at).select(*by, F.col("neighbour").alias("node"), (F.col("score") * F.col("share") * 0.5**hop).alias("score"))
         frontier = step.join(seen.select(*by, "node"), [*by, "node"], "left_anti").groupBy(*by, "node").agg(F.max("score").alias("score")).where("score > 0")
         seen = seen.unionByName(frontier)

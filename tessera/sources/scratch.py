@@ -17,4 +17,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that is read rather than computed again; one that :func:`saved` gave is that already."""
+    return df if hasattr(df, "saved_at") else saved(df, name)
