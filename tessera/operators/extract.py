@@ -28,13 +28,12 @@ def rule_entities(units: DataFrame) -> DataFrame:
     return rows.select("e.name", "e.type", F.lit("").alias("description"), "text_unit_id", F.struct("ord", "at").alias("ord"))
 
 
-def rule_relationships(units: DataFrame, most: int = 8) -> DataFrame:
-    """(source, target, rel_type, description, weight, text_unit_id, ord): the first ``most`` names of a unit, each with
-    those after it. The number of pairs of a unit is bounded by ``most``, however long it is."""
-    first = F.slice(names(F.col("raw_text")), 1, most)
-    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, most), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    rows = units.select(F.col("id").alias("text_unit_id"), "ord", F.posexplode(pairs).alias("at", "p"))
-    return rows.select("p.source", "p.target", F.lit("RELATED_TO").alias("rel_type"), F.lit("").alias("description"), F.lit(1.0).alias("weight"), "text_unit_id", F.struct("ord", "at").alias("ord"))
+def rule_relationships(units: DataFrame) -> DataFrame:
+    """(source, target, rel_type, description, weight, text_unit_id, ord): each name of a unit with all those after it.
+    Pairs are made a name at a time, so no row holds more than the unit's names."""
+    each = units.select(F.col("id").alias("text_unit_id"), "ord", names(F.col("raw_text")).alias("all")).select("text_unit_id", "ord", "all", F.posexplode("all").alias("i", "source"))
+    rows = each.select("text_unit_id", "ord", "i", "source", F.posexplode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("j", "target"))
+    return rows.select("source", "target", F.lit("RELATED_TO").alias("rel_type"), F.lit("").alias("description"), F.lit(1.0).alias("weight"), "text_unit_id", F.struct("ord", "i", "j").alias("ord"))
 
 
 def ask_model(units: DataFrame, complete: Callable[[str], str], tries: int = 3) -> DataFrame:

@@ -417,10 +417,10 @@ def index_meta(t):
 
 
 def _chunks(t: Tables) -> DataFrame:
-    """The five best documents of each vector question as chunks, with their first five names as entities."""
+    """The five best documents of each vector question as chunks, with their names as entities."""
     docs = t["documents"].select("doc_id", "text", F.concat(F.coalesce("source", F.lit("unknown")), F.lit(".mp4")).alias("source_video"), (F.col("doc_id") * 1.0).alias("start_time"), (F.col("doc_id") + 1.0).alias("end_time"))
     hits = _batch(t, 5).join(docs, F.col("vec_id") == F.col("doc_id"))
-    entities = F.transform(F.slice(extract.names(F.col("text")), 1, 5), lambda n: F.struct(n.alias("name"), F.lit("CONCEPT").alias("type"), F.when(F.length(n) > 6, F.lit("long")).otherwise("").alias("description")))
+    entities = F.transform(extract.names(F.col("text")), lambda n: F.struct(n.alias("name"), F.lit("CONCEPT").alias("type"), F.when(F.length(n) > 6, F.lit("long")).otherwise("").alias("description")))
     hits = hits.select("query_id", F.col("vec_id").cast("string").alias("id"), "text", "source_video", "start_time", "end_time", "score", entities.alias("related_entities"), F.col("rank").alias("place"))
     return organize.unit_chunks(hits).join(hits.select("query_id", F.col("id").alias("chunk_id"), "place"), ["query_id", "chunk_id"])
 

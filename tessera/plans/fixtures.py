@@ -57,8 +57,8 @@ class Tables:
         return self["benchmark"].select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
     def asked(self) -> DataFrame:
-        """(query_id, at, name): the first four names of each question."""
-        return self.questions().select("query_id", F.posexplode(F.slice(extract.names(F.col("query")), 1, 4)).alias("at", "name"))
+        """(query_id, at, name): the names of each question."""
+        return self.questions().select("query_id", F.posexplode(extract.names(F.col("query"))).alias("at", "name"))
 
     def seeds(self) -> DataFrame:
         return self.asked().select("query_id", F.lower("name").alias("node"))
