@@ -230,15 +230,16 @@ def scalar_functions(t):
     pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % 4 + 1).cast("int"))
     return t["documents"].select(
         "doc_id", X.hhmmss("n_chars").alias("stamp"), X.minutes_seconds("n_chars").alias("short"), X.zero_filled(F.col("doc_id").cast("string")).alias("padded"), X.url_at(F.lit("https://x/?t=9s&a=1"), "n_chars").alias("link"),
-        X.html_escaped(F.substring("text", 1, 60)).alias("shown"), X.clamped(F.col("n_chars") / 5000.0).alias("clamped"),
+        X.html_escaped(F.col("text")).alias("shown"), X.clamped(F.col("n_chars") / 5000.0).alias("clamped"),
         X.judged_yes_no(pick("Yes, it is", "partial support", "NO.", "I say YES")).alias("judged"), X.judged_score(pick("8 of 10", "none", "0.4", "score 12")).alias("rated"),
     )
 
 
 @query(r"SELECT doc_id, substr(text, 1, 20) AS rest, coalesce(source, 'unknown') AS video, n_chars / 10.0::DOUBLE AS seconds FROM documents WHERE source IS NULL OR source NOT LIKE '%,%'")
 def source_headers(t):
+    """Headers read back; a source with a comma in it is no header to the pattern, so video and seconds are null."""
     made = F.concat(F.lit("[SOURCE: "), F.coalesce("source", F.lit("unknown")), F.lit(", START: "), (F.col("n_chars") / 10.0).cast("string"), F.lit(", END: 9.5, ID: x]"))
-    rows = t["documents"].where("source is null or source not like '%,%'").select("doc_id", X.source_header(made).alias("h"), X.without_meeting_prefix(F.concat(F.lit("[Meeting: m | 1.0s ~ 2.0s]\n\n"), F.substring("text", 1, 20))).alias("rest"))
+    rows = t["documents"].select("doc_id", X.source_header(made).alias("h"), X.without_meeting_prefix(F.concat(F.lit("[Meeting: m | 1.0s ~ 2.0s]\n\n"), F.col("text"))).alias("rest"))
     return rows.select("doc_id", "rest", "h.video", F.col("h.start").alias("seconds"))
 
 
@@ -487,12 +488,12 @@ def ask_batch(t):
 
 
 def _cases(t: Tables) -> DataFrame:
-    """Documents as cases: the first sentence asked, the first 200 characters answered out of the first 600."""
+    """Documents as cases: the whole text asked, answered and given as context."""
     d, s = F.col("doc_id"), lambda c: c.cast("string")
     none = F.array().cast("array<string>")
     rows = t["documents"].join(t["labels"], "doc_id", "left").select(
         s(d).alias("case_id"), F.when(d % 5 == 0, F.lit(None)).when(d % 2 == 0, "local").otherwise("global").alias("query_type"), F.when(d % 11 == 0, "failed").alias("error"), (d % 13 == 0).alias("is_fallback"),
-        F.concat(F.lit("What is the "), F.substring("text", 1, 40)).alias("query"), F.concat(F.substring("text", 21, 200), F.lit(" [REF:"), s(d), F.lit("] [REF:x]")).alias("answer"), F.substring("text", 1, 600).alias("context"),
+        F.concat(F.lit("What is the "), F.col("text")).alias("query"), F.concat(F.col("text"), F.lit(" [REF:"), s(d), F.lit("] [REF:x]")).alias("answer"), F.col("text").alias("context"),
         F.when(d % 3 == 0, none).otherwise(F.array(F.coalesce("lang", F.lit("en")), F.lit("the"))).alias("query_entities"), F.array(s(d), s(d + 1), s(d + 2)).alias("retrieved"), F.array(s(d)).alias("cited"),
         F.when(F.col("quality") == 1, F.array(s(d), s(d + 5))).otherwise(none).alias("expected"), F.array("lang").alias("found_entities"), F.when(F.col("toxic") == 1, F.array(F.lit("EN"), F.lit("fr"))).otherwise(none).alias("true_entities"),
         F.array("source").alias("cited_videos"), F.when(d % 2 == 0, none).otherwise(F.array(F.lit("src1"), F.lit("src0"))).alias("expected_videos"),
@@ -537,7 +538,7 @@ def eval_report(t):
 def _testset(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     return t["documents"].select(
-        F.when(d % 17 == 0, "same").otherwise(d.cast("string")).alias("id"), F.when(d % 19 != 0, F.substring("text", 1, 30)).alias("query"), F.element_at(F.array(*map(F.lit, ["local", "global", "auto", "both"])), (d % 4 + 1).cast("int")).alias("query_type"),
+        F.when(d % 17 == 0, "same").otherwise(d.cast("string")).alias("id"), F.when(d % 19 != 0, F.col("text")).alias("query"), F.element_at(F.array(*map(F.lit, ["local", "global", "auto", "both"])), (d % 4 + 1).cast("int")).alias("query_type"),
         F.lit("").alias("expected_answer"), F.element_at(F.array(*map(F.lit, ["easy", "medium", "hard", "odd", "easy"])), (d % 5 + 1).cast("int")).alias("difficulty"), F.array("lang", "source").alias("tags"),
     )
 

@@ -31,3 +31,15 @@ def test_graph_queries_know_late_names(spark, tmp_path):
     assert len(pairs) == 66 and pairs["india", "lima"] == (2.0, 2) and pairs["alpha", "lima"] == (1.0, 1)
     assert {r.node: r.degree for r in run("node_degrees")} == dict.fromkeys(map(str.lower, NAMES), 11)
     assert {r.node for r in run("bfs_1hop") if r.score == 1.0} == {"about", *map(str.lower, NAMES)}
+
+
+def test_cases_and_scalars_see_whole_texts(spark, tmp_path):
+    text = "start " * 200 + "<the> end"
+    path = tables(spark, tmp_path, [(1, text, "a"), (2, text, "b, c")])
+    case = catalog._cases(catalog.Tables(spark, path)).where("case_id = '1'").first()
+    assert case.context == text and case.answer == text + " [REF:1] [REF:x]" and case.query == "What is the " + text
+    run = lambda name: {r[0]: r for r in catalog.queries()[name](spark, path).collect()}
+    assert run("scalar_functions")[1].shown == text.replace("<the>", "&lt;the&gt;")
+    got = run("source_headers")
+    assert [(got[d].rest, got[d].video) for d in (1, 2)] == [(text, "a"), (text, None)]
+    assert catalog._testset(catalog.Tables(spark, path)).first().query == text
