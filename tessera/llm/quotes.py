@@ -15,8 +15,11 @@ from tessera.llm.common import arrow_batch, discard, map_arrow, pieces, saved
 _mark = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$")
 _attribution = re.compile(r"^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{0,40}:\s*$")
 _space = re.compile(r"\s+")
-#: Letters and digits of a unit, at least; shorter ones ("ok", "thanks") say nothing about where they come from.
+#: Letters and digits of a unit that may lead to another conversation, at least; shorter ones ("ok", "thanks") are looked
+#: for in their own conversation only, as they say nothing about which other one they come from.
 LEAST = 12
+#: Bytes of a short unit's hash, by which it is told from others'.
+SHORT = 15
 WHOLE, LINE = 0, 1
 
 
@@ -30,10 +33,18 @@ def lines_by_level(text: str) -> list[tuple[int, str]]:
     return [(n, x) for i, (n, x) in enumerate(out) if not (i + 1 < len(out) and out[i + 1][0] > n and _attribution.match(x))]
 
 
-def unit_hash(text: str) -> bytes | None:
-    """A hash of the text without differences of case, form and white space; None if it is too short to tell."""
+def any_hash(text: str) -> bytes | None:
+    """A hash of the text without differences of case, form and white space: SHORT bytes if it has fewer than LEAST
+    letters and digits, else 16; None if nothing is left."""
     plain = _space.sub(" ", unicodedata.normalize("NFKC", text).casefold()).strip()
-    return hashlib.blake2b(plain.encode(), digest_size=16).digest() if sum(map(str.isalnum, plain)) >= LEAST else None
+    size = 16 if sum(map(str.isalnum, plain)) >= LEAST else SHORT
+    return hashlib.blake2b(plain.encode(), digest_size=size).digest() if plain else None
+
+
+def unit_hash(text: str) -> bytes | None:
+    """The hash of a text by which it is found in any conversation; None if it is too short to tell."""
+    h = any_hash(text)
+    return h if h and len(h) != SHORT else None
 
 
 def parse(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int, int, bytes]]]:
@@ -55,11 +66,11 @@ def parse(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int, int, b
             passages.append((n, []))
         passages[-1][1].append(x)
         last = n
-    units = {unit_hash(own), *(unit_hash(x) for n, p in passages if n == 0 for x in ("\n".join(p), *p))} - {None}
+    units = {any_hash(own), *(any_hash(x) for n, p in passages if n == 0 for x in ("\n".join(p), *p))} - {None}
     quoted = []
     for k, (n, p) in enumerate([p for p in passages if p[0] > 0]):
         for kind, i, x in [(WHOLE, 0, "\n".join(p)), *((LINE, i, x) for i, x in enumerate(p))]:
-            h = unit_hash(x)
+            h = any_hash(x)
             if h:
                 quoted.append((k, n, kind, i, h))
     return own, sorted(units), quoted
@@ -71,7 +82,7 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     Columns: conversation, turn, role, text (without quoted lines and attributions), max_level, n_quotes (passages),
     n_linked, parent_conv and parent_turn, thread_turn, reply_depth. A passage's original is the first message that has
     it as a passage, a line or whole in its own text: of the same conversation, at an earlier turn; else of all others,
-    the smallest (conversation, turn). A passage that is nowhere whole links by its first line that is. The parent is
+    the smallest (conversation, turn), unless it has fewer than LEAST letters and digits. A passage that is nowhere whole links by its first line that is. The parent is
     the original of the shallowest linked passage, of the same conversation if there is one, and the latest turn of
     those. A thread is what replies lead back to within a conversation: ``thread_turn`` is its first message's turn,
     so rows by (conversation, thread_turn, turn) have every reply after what it answers. A message that quotes nothing
@@ -104,7 +115,7 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     wanted = quoted.select("hash").distinct()
     originals = placed.select("conv", "turn", F.explode("units").alias("hash")).groupBy("hash", "conv").agg(F.min("turn").alias("first")).join(wanted, "hash", "left_semi")
     originals = saved(originals, "originals")
-    anywhere = saved(originals.groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("any")), "anywhere")
+    anywhere = saved(originals.where(F.length("hash") != SHORT).groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("any")), "anywhere")
     own = originals.withColumnRenamed("conv", "c")
     found = quoted.join(own, (quoted.hash == own.hash) & (quoted.conv == own.c), "left").drop(own.hash).drop("c").join(anywhere, "hash", "left")
     inside = F.when(F.col("first") < F.col("turn"), F.struct("conv", F.col("first").alias("turn")))

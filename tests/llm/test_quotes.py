@@ -91,3 +91,11 @@ def test_long_threads(spark):
     up = spark.createDataFrame([(1, i, i - 1) for i in range(1, 200)] + [(2, 9, 4)], "conv long, turn long, up long")
     got = {(r.conv, r.turn): (r.root, r.depth) for r in thread_roots(up).collect()}
     assert got == {(1, i): (0, i) for i in range(1, 200)} | {(2, 9): (4, 1)}
+
+
+def test_short_quotations_link_within_their_conversation(spark):
+    rows = [(0, 0, "a", "Sounds good"), (0, 1, "b", "はい"), (0, 2, "a", "> Sounds good\nok"), (0, 3, "b", "> はい\nthen\n> :-)"), (1, 0, "a", "> sounds  GOOD\nwell")]
+    got = {(r.conv_id, r.turn): tuple(r)[3:] for r in link_quotations(frame(spark, rows)).collect()}
+    assert got[0, 2] == ("ok", 1, 1, 1, 0, 0, 0, 1)
+    assert got[0, 3] == ("then", 1, 2, 1, 0, 1, 1, 1)
+    assert got[1, 0] == ("well", 1, 1, 0, None, None, 0, 0)
