@@ -9,6 +9,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessera.llm.common import arrow_batch, discard, map_arrow, pieces, saved
 
@@ -115,11 +116,14 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     wanted = quoted.select("hash").distinct()
     originals = placed.select("conv", "turn", F.explode("units").alias("hash")).groupBy("hash", "conv").agg(F.min("turn").alias("first")).join(wanted, "hash", "left_semi")
     originals = saved(originals, "originals")
-    anywhere = saved(originals.where(F.length("hash") != SHORT).groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("any")), "anywhere")
+    # the two smallest conversations of each hash, for a quotation may be in the smallest; each task passes on two at most
+    rank = F.row_number().over(W.partitionBy("hash").orderBy("conv"))
+    two = originals.where(F.length("hash") != SHORT).withColumn("rank", rank).where("rank <= 2")
+    anywhere = saved(two.groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("any"), F.max(F.struct("conv", "first")).alias("other")), "anywhere")
     own = originals.withColumnRenamed("conv", "c")
     found = quoted.join(own, (quoted.hash == own.hash) & (quoted.conv == own.c), "left").drop(own.hash).drop("c").join(anywhere, "hash", "left")
     inside = F.when(F.col("first") < F.col("turn"), F.struct("conv", F.col("first").alias("turn")))
-    outside = F.when(F.col("any.conv") != F.col("conv"), F.struct(F.col("any.conv").alias("conv"), F.col("any.first").alias("turn")))
+    outside = F.coalesce(*(F.when(F.col(f"{x}.conv") != F.col("conv"), F.struct(F.col(f"{x}.conv").alias("conv"), F.col(f"{x}.first").alias("turn"))) for x in ("any", "other")))
     units = found.withColumn("to", F.coalesce(inside, outside)).select("conv", "turn", "id", "passage", "level", F.when(F.col("to").isNotNull(), F.struct("kind", "line", "to")).alias("link"))
     passages = units.groupBy("conv", "turn", "id", "passage", "level").agg(F.min("link").to.alias("to"))
     same = (F.col("to.conv") == F.col("conv")).cast("int")

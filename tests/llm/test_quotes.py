@@ -99,3 +99,11 @@ def test_short_quotations_link_within_their_conversation(spark):
     assert got[0, 2] == ("ok", 1, 1, 1, 0, 0, 0, 1)
     assert got[0, 3] == ("then", 1, 2, 1, 0, 1, 1, 1)
     assert got[1, 0] == ("well", 1, 1, 0, None, None, 0, 0)
+
+
+def test_originals_beyond_the_own_conversation(spark):
+    line = "a line that is said in many places"
+    rows = [(0, 1, "a", f"> {line}\nfirst answer"), (0, 1, "b", line), (3, 5, "a", line), (2, 8, "b", line), (2, 9, "a", line), (2, 3, "b", f"> {line}\nanother answer"), (7, 0, "a", f"> {line}\nthird answer")]
+    said = {(c, t) for c, t, _, x in rows if unit_hash(line) in parse(x)[1]}
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in link_quotations(frame(spark, rows)).where("n_quotes > 0").collect()}
+    assert got == {(c, t): min(o for o in said if o[0] != c) for c, t in ((0, 1), (2, 3), (7, 0))} == {(0, 1): (2, 8), (2, 3): (0, 1), (7, 0): (0, 1)}
