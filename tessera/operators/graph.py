@@ -9,6 +9,10 @@ from tessera.functions import text as X
 from tessera.sources.scratch import once, saved
 
 
+#: Edges of a component that Louvain takes into one task, at most.
+MOST_EDGES = 250_000
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, neighbour, weight) from (source, target, weight), each edge in both directions."""
     there = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), F.col("weight").cast("double").alias("weight"))
@@ -108,6 +112,18 @@ def louvain(vertices: DataFrame, edges: DataFrame, component: DataFrame | None =
     return grouped.unionByName(alone)
 
 
+def louvain_or_labels(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, most: int = MOST_EDGES, node: str = "node") -> DataFrame:
+    """(node, community) by :func:`louvain`, and by :func:`label_propagation` in components of more than ``most`` edges."""
+    parts = saved(components(vertices, edges, node), "parts")
+    ends = edges.join(parts.select(F.col("node").alias("source"), "component"), "source")
+    large = saved(ends.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"), "large")
+    found = louvain(vertices, edges, parts.join(large, "component", "left_anti"), resolution, node)
+    if not large.limit(1).count():
+        return found
+    inside = parts.join(large, "component", "left_semi").select("node")
+    return found.unionByName(label_propagation(inside, ends.join(large, "component", "left_semi").select("source", "target", "weight")))
+
+
 def modularity_groups(edges: list[tuple], total: float, resolution: float = 1.0) -> dict:
     """Each node's community, named by its smallest node."""
     members = {n: [n] for n in sorted({x for a, b, _ in edges for x in (a, b)})}

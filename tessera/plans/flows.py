@@ -25,8 +25,10 @@ class Index:
     community_vectors: DataFrame
 
 
-def build_index(records: DataFrame, options: Settings | None = None, method: str = "components") -> Index:
-    """Records (with ``ord``) to text units, entities, relationships, communities and vectors. Every stage is written."""
+def build_index(records: DataFrame, options: Settings | None = None, method: str = "louvain") -> Index:
+    """Records (with ``ord``) to text units, entities, relationships, communities and vectors. Every stage is written.
+    Communities are Louvain's, or those of label propagation in components too large for a task; ``method`` may name
+    "components" or "labels" for all."""
     ship(records.sparkSession)
     o = options or Settings()
     units = chunk.text_units(sinks.texts(records).select("source_file", "body", "source_video", "start_time", "end_time", "slide_image"), o.chunk_size, o.overlap)
@@ -36,7 +38,7 @@ def build_index(records: DataFrame, options: Settings | None = None, method: str
     units = saved(resolve.unit_entities(entities, units), "units")
     edges = saved(graph.entity_graph(relationships, entities), "edges")
     nodes = entities.select(F.col("key").alias("node"))
-    found = {"components": graph.components, "labels": graph.label_propagation, "louvain": lambda n, e: graph.louvain(n, e, resolution=o.resolution)}[method](nodes, edges)
+    found = {"components": graph.components, "labels": graph.label_propagation, "louvain": lambda n, e: graph.louvain_or_labels(n, e, o.resolution)}[method](nodes, edges)
     groups = communities.assemble(found.toDF("node", "community"), entities)
     groups = saved(communities.reports(groups), "communities")
     return Index(units, entities, relationships, groups, saved(vectors.vector_table(units, "text_units"), "vectors"), saved(vectors.vector_table(groups, "communities"), "vectors"))

@@ -2,8 +2,11 @@
 
 from itertools import combinations
 
-from tessera.operators import extract
-from tessera.plans import catalog
+from pyspark.sql import functions as F
+
+from tessera.operators import extract, graph
+from tessera.plans import catalog, flows
+from tessera.sources import readers
 
 NAMES = ["Alpha", "Bravo", "Charlie", "Delta", "Echo", "Foxtrot", "Golf", "Hotel", "India", "Juliett", "Kilo", "Lima"]
 
@@ -43,3 +46,23 @@ def test_cases_and_scalars_see_whole_texts(spark, tmp_path):
     got = run("source_headers")
     assert [(got[d].rest, got[d].video) for d in (1, 2)] == [(text, "a"), (text, None)]
     assert catalog._testset(catalog.Tables(spark, path)).first().query == text
+
+
+def cliques(pairs):
+    return [(f"{g}{i}", f"{g}{j}", 1.0) for g in pairs for i in range(5) for j in range(i)] + [(f"{pairs[0]}0", f"{pairs[1]}0", 0.1)]
+
+
+def test_large_components_are_split_too(spark):
+    rows = cliques("ab") + cliques("cd") + [("e0", "e1", 1.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, weight double")
+    nodes = edges.select(F.explode(F.array("source", "target", F.lit("z"))).alias("node")).distinct()
+    want = {f"{g}{i}": f"{g}0" for g in "abcd" for i in range(5)} | {"e0": "e0", "e1": "e0", "z": "z"}
+    for most in (100, 5, 0):
+        got = [tuple(r) for r in graph.louvain_or_labels(nodes, edges, most=most).collect()]
+        assert dict(got) == want and len(got) == len(want)
+
+
+def test_index_splits_a_component_into_communities(spark):
+    texts = [f"{a} meets {b}." for g in ("Alpha Bravo Charlie Delta", "Kilogram Lima Mike November") for a, b in combinations(g.split(), 2)] + ["Alpha meets Kilogram."]
+    records = spark.createDataFrame([(str(i), "m.mp4", float(i), i + 1.0, "", None, t, "", i) for i, t in enumerate(texts)], readers.RECORD.rsplit(", extracted", 1)[0] + ", ord int")
+    assert sorted(r.entity_count for r in flows.build_index(records).communities.where("entity_count > 1").collect()) == [4, 4]
