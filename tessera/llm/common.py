@@ -21,9 +21,12 @@ PIECE_BYTES = 2 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own where it is unset, as in tests."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own where it is unset and all runs in one
+    process, as in tests. On a cluster a folder of this machine would not do, so there it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -35,7 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    return written(df, scratch_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``."""
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
@@ -47,9 +54,26 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "scratch", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    store, where = hadoop_path(spark, path)
+    store.delete(where, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The driver's file system for a path, and the path in it."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def file_system(uri: str):
+    """The file system and path of a URI for a task, in any store that Arrow reaches; a bare path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batch, map_arrow, parts, pieces, saved, scratch_path
+from tessera.llm.common import arrow_batch, file_system, map_arrow, parts, pieces, saved, scratch_path
 
 #: Bytes at which a task begins a new archive; captures in an index block; bytes between records worth reading over.
 ARCHIVE_BYTES, BLOCK_LINES, GAP, READ_BYTES = 1 << 30, 512, 1 << 15, 4 << 20
@@ -38,13 +38,6 @@ def url_key(url: str | None) -> str:
     return f"{at}){parts_.path or '/'}" + (f"?{parts_.query}" if parts_.query else "")
 
 
-def file_system(uri: str):
-    """The file system and path of a URI, in any store that Arrow reaches; a bare path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
