@@ -17,6 +17,8 @@ from tessera.llm.common import arrow_batch, map_arrow, pieces
 SAMPLE_PER_LANGUAGE = 1500
 #: Tasks that gather the sample's counts.
 FIT_TASKS = 8
+#: Labels that a model may tell apart, the most frequent ones; they bound its matrices.
+MOST_LANGUAGES = 256
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bytes of a text that are scored at a time.
@@ -97,19 +99,38 @@ class Model:
         return self.languages[order[0]], float(share[order[0]]), bool(close)
 
 
+def weights_of(totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Each bit's log odds of a bucket (buckets x bits): the mean of smoothed rates of the languages with the bit against
+    that of those without; zero where all are on one side."""
+    rates = (totals + 0.5) / (totals + 0.5).sum(axis=1, keepdims=True)
+
+    def side(chosen: np.ndarray) -> np.ndarray:
+        return np.log((rates[chosen] if chosen.any() else rates).mean(axis=0))
+
+    return np.stack([side(bit > 0) - side(bit < 0) for bit in code.T], axis=1).astype(np.float32)
+
+
+def fold(text: str) -> int:
+    """Which half of the sample a text is of."""
+    return zlib.crc32(text.encode()) & 1
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """A model of the labels of ``docs``; rows without a label, and texts without a letter, teach nothing.
+    """A model of the labels of ``docs``; rows without a label, and texts without a letter, teach nothing, nor do labels
+    beyond the MOST_LANGUAGES most frequent (of equals, the smaller).
 
     Each bit of the code has a classifier of its own: the log odds of a hashed n-gram between the languages with the
-    bit and those without, from the sample's smoothed frequencies, each language weighing alike. Half of the sample
-    gives the odds; on the other half each classifier's accuracy by language is measured, which is what it later
-    weighs in that language's loss.
+    bit and those without, from the sample's smoothed frequencies, each language weighing alike. All of the sample gives
+    the odds, so that a language of a single document is learned too. How far a bit is to be trusted in a language, which
+    is what it weighs in that language's loss, is measured by cross-fitting: each half of the sample is judged by the odds
+    of the other half.
     """
     rows = docs.select(text, label).where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1)))
+    number = {x: k for k, x in enumerate(languages)}
     share = F.coalesce(*(F.when(F.col(label) == x, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))) for x, n in sizes.items() if n > SAMPLE_PER_LANGUAGE), F.lit(1.0))
     place = F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(place < share).select(F.col(text).alias("text"), F.col(label).alias("lang")).repartition(FIT_TASKS)
@@ -118,43 +139,35 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
         seen: dict = {}
         for part in pieces(batches, "text"):
             for x, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                if has_letter(x):
-                    own = seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.uint32))
-                    if _fits(x):
-                        for ids in grams(x.encode()):
-                            own += np.bincount(ids, minlength=BUCKETS).astype(np.uint32)
-        yield arrow_batch([("lang", pa.string()), ("counts", pa.binary())], [list(seen), [x.tobytes() for x in seen.values()]])
-
-    totals = np.zeros((len(languages), BUCKETS))
-    for r in map_arrow(sample, gather, "lang string, counts binary").collect():
-        totals[languages.index(r.lang)] += np.frombuffer(r.counts, dtype=np.uint32)
+                if lang in number and has_letter(x):
+                    own = seen.setdefault((number[lang], fold(x)), np.zeros(BUCKETS, dtype=np.uint32))
+                    for ids in grams(x.encode()):
+                        own += np.bincount(ids, minlength=BUCKETS).astype(np.uint32)
+        yield arrow_batch([("k", pa.int32()), ("half", pa.int32()), ("counts", pa.binary())], [[k for k, _ in seen], [h for _, h in seen], [x.tobytes() for x in seen.values()]])
+
+    totals = np.zeros((2, len(languages), BUCKETS))
+    for r in map_arrow(sample, gather, "k int, half int, counts binary").toLocalIterator():
+        totals[r.half, r.k] += np.frombuffer(r.counts, dtype=np.uint32)
     code = codewords(len(languages))
-    rates = (totals + 0.5) / (totals + 0.5).sum(axis=1, keepdims=True)
-    weights = np.stack([np.log(rates[c > 0].mean(axis=0) if (c > 0).any() else rates.mean(axis=0)) - np.log(rates[c < 0].mean(axis=0) if (c < 0).any() else rates.mean(axis=0)) for c in code.T], axis=1)
-    model = Model(languages, code, weights.astype(np.float32), np.ones(code.shape) / code.shape[1])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(languages, code, weights_of(totals.sum(axis=0), code), np.ones(code.shape) / code.shape[1])
+    halves = docs.sparkSession.sparkContext.broadcast([Model(languages, code, weights_of(x, code), model.trust) for x in totals])
 
     def judge(batches):
         right, seen = np.zeros(code.shape), np.zeros(len(languages))
         for part in pieces(batches, "text"):
             for x, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                if has_letter(x) and not _fits(x):
-                    k = languages.index(lang)
-                    right[k] += np.sign(sent.value.margins(x.encode())) == code[k]
+                if lang in number and has_letter(x):
+                    k = number[lang]
+                    right[k] += np.sign(halves.value[1 - fold(x)].margins(x.encode())) == code[k]
                     seen[k] += 1
         yield arrow_batch([("k", pa.int32()), ("seen", pa.float64()), ("right", pa.list_(pa.float64()))], [list(range(len(languages))), seen.tolist(), right.tolist()])
 
     right, seen = np.ones(code.shape), np.full(len(languages), 2.0)
-    for r in map_arrow(sample, judge, "k int, seen double, right array<double>").collect():
+    for r in map_arrow(sample, judge, "k int, seen double, right array<double>").toLocalIterator():
         right[r.k] += np.array(r.right)
         seen[r.k] += r.seen
     trust = right / seen[:, None]
-    return Model(languages, code, weights.astype(np.float32), trust / trust.sum(axis=1, keepdims=True))
-
-
-def _fits(text: str) -> bool:
-    """Whether a sampled text is of the half that gives the odds."""
-    return zlib.crc32(text.encode()) & 1 == 0
+    return Model(languages, code, model.weights, trust / trust.sum(axis=1, keepdims=True))
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +16,22 @@ from tessera.llm.common import arrow_batch, map_arrow, pieces
 
 #: Words of the broadcast table at most, and the longest of them; they bound it to TABLE_WORDS * TABLE_BYTES = 4 MB.
 TABLE_WORDS, TABLE_BYTES = 1 << 16, 64
-#: One document in so many is looked at for the table. It holds what the counts would be anyway, so it speeds the
-#: lookup and can't change a result; counts themselves cover all text.
-TABLE_SHARE = 64
-#: Words a worker remembers besides the table; when full it starts anew.
-CACHE_WORDS = 400_000
-
-#: The white space of the vocabulary's own patterns, and its pattern for pre-tokens.
-SPACE = r"[\t-\r \x85\xa0  -     　]"
+#: Words a worker remembers besides the table, and the longest of them, which bound it to 100 MB; when full it starts anew.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Characters of a text that are split at a time, cut before a space.
+BLOCK = 1 << 18
+
+#: The white space and the pattern for pre-tokens of the vocabulary, below U+0180.
+SPACE = r"[\t-\r \x85\xa0]"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_spaces = re.compile(SPACE + "+")
-#: Below U+0250, where lower-casing is by character and NFC has nothing to compose unless a mark follows, Python's own
-#: functions agree with the library's.
-_simple = re.compile("[\x00-ɏ]*")
-_words = regex.compile(WORDS.replace(r"\s", SPACE[1:-1]))
-#: The same below U+0250 for Python's faster matcher: its letters, and its numbers.
+#: Below U+0180, where lower-casing stays below U+0250, NFC has nothing to compose and classes are settled, Python's faster
+#: matcher agrees with the library: with its letters, and its numbers. All else the library splits itself.
+_simple = re.compile("[\x00-ſ]*")
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _simple_words = re.compile(WORDS.replace(r"\s", SPACE[1:-1]).replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS))
+#: Stands before words that the library has written in the byte-level alphabet already; plain words are below U+0250.
+MAPPED = "\u2581"
 
 
 class Counts(dict):
@@ -45,6 +43,8 @@ class Counts(dict):
 
     def __missing__(self, word: str) -> int:
         self.misses += 1
+        if len(word) > CACHE_CHARS:
+            return word_length(word, self.tokenizer)
         if len(self) - self.fixed >= CACHE_WORDS:
             self.clear()
             self.update(self.table)
@@ -64,6 +64,8 @@ _alphabet = _byte_characters()
 
 def word_length(word: str, tokenizer) -> int:
     """Tokens of one pre-token: the library's model on the word in the byte-level alphabet."""
+    if word.startswith(MAPPED):
+        return len(tokenizer.model.tokenize(word[1:]))
     plain = word.isascii() and word.isprintable() and " " not in word
     return len(tokenizer.model.tokenize(word if plain else word.encode().decode("latin-1").translate(_alphabet)))
 
@@ -82,6 +84,18 @@ def special_strings(path: str):
     return re.compile("|".join(map(re.escape, added))) if added else None
 
 
+def blocks(text: str) -> Iterator[str]:
+    """``text`` in blocks of about BLOCK characters, cut before a space, which no word and no composed character crosses."""
+    at = 0
+    while len(text) - at > BLOCK:
+        to = text.find(" ", at + BLOCK)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
 def split(text: str, path: str) -> tuple[list[str], int]:
     """The words of ``text`` as the library pre-tokenizes them, and how many special strings it holds."""
     found, special = special_strings(path), 0
@@ -90,32 +104,34 @@ def split(text: str, path: str) -> tuple[list[str], int]:
         parts = found.split(text)
         special = len(parts) - 1
     words: list[str] = []
-    for part in parts:
+    for part in (x for y in parts for x in blocks(y)):
         if _simple.fullmatch(part):
             words += _simple_words.findall(part.lower())
         else:
-            words += _words.findall(tokenizer(path).normalizer.normalize_str(part))
+            own = tokenizer(path)
+            mapped = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(part))
+            words += [w if w.isascii() else MAPPED + w for w, _ in mapped]
     return words, special
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text") -> list[str]:
-    """The most frequent words of one document in TABLE_SHARE, TABLE_WORDS at most.
+    """The most frequent words of all texts, TABLE_WORDS at most.
 
-    Each task sends its own TABLE_WORDS most frequent; their sums are ranked, ties by word.
+    Each task counts all its words, forgets the rarest when they grow too many, and sends its TABLE_WORDS most frequent;
+    their sums are ranked, ties by word. The table holds what the counts would be anyway: it speeds them and can't change one.
     """
 
     def run(batches):
         seen: Counter = Counter()
         for part in pieces(batches, text):
             for x in part.column(text).to_pylist():
-                seen.update(w for w in split(x or "", path)[0] if len(w) <= TABLE_BYTES // 4)
-            if len(seen) > 4 * TABLE_WORDS:
-                seen = Counter(dict(seen.most_common(TABLE_WORDS)))
-        top = [(w, n) for w, n in seen.most_common(TABLE_WORDS) if n > 1]
+                seen.update(split(x or "", path)[0])
+                if len(seen) > 4 * TABLE_WORDS:
+                    seen = Counter({w: n for w, n in seen.most_common(TABLE_WORDS) if len(w) <= TABLE_BYTES // 4})
+        top = [(w, n) for w, n in seen.most_common(TABLE_WORDS) if n > 1 and len(w) <= TABLE_BYTES // 4]
         yield arrow_batch([("word", pa.string()), ("n", pa.int64())], [[w for w, _ in top], [n for _, n in top]])
 
-    share = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(TABLE_SHARE)) == 0)
-    ranked = map_arrow(share, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = map_arrow(docs.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in ranked.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word").collect()]
 
 
@@ -133,11 +149,12 @@ def counts(path: str, words: bytes, lengths: bytes) -> Counts:
 
 
 def count_tokens(docs: DataFrame, path: str, over: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) for each row of ``docs``, in one pass over the texts without a shuffle.
+    """(key, n_bytes, n_tokens, over_limit) for each row of ``docs``. One pass over the texts makes the table, a second
+    counts; neither shuffles a text or its words.
 
     The counts are the library's own for the whole text, without begin, end or added tokens; special strings inside a
     text count as the library's default has it, one token each. A null text counts as empty: 0 bytes, 0 tokens, not
-    over the limit. Rows are independent, so repeated rows and keys, null keys and other columns make no difference.
+    over the limit. A text of any length, even of one word, counts whole. Rows are independent, so repeated rows and keys, null keys and other columns make no difference.
     """
     kind = docs.schema[key].dataType.simpleString()
     packed = docs.sparkSession.sparkContext.broadcast(pack(frequent_words(docs, path, text), path))

@@ -52,6 +52,48 @@ def test_pieces_encode_as_the_whole(text, most):
     assert [i for p in parts for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*ODD, "    ", "\t\t\t", "\n\n\n\n", "\u2003\u2003\u2003", "\x1c\x1c\x1c"]), max_size=40).map("".join))
+def test_long_white_space_is_matched_apart(text):
+    own = bpe.encoder(RANKS, P.PATTERN)
+    was, bpe._spaces = bpe._spaces, __import__("re").compile(f"[{bpe.SPACE}]{{3,}}")
+    try:
+        parts = list(bpe.stretches(text))
+    finally:
+        bpe._spaces = was
+    assert "".join(x for x, _ in parts) == text
+    assert [i for x, one in parts for i in (own._encode_single_piece(x) if one else own.encode_ordinary(x))] == own.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + " " * 1_000_000 + "b" + "\n" * 1_000_000, "!" * 2_000_000, "word\n" * 400_000, "漢字，" * 700_000, "a" * 2_000_000, "1a" * 1_000_000])
+def test_very_long_texts(text):
+    ids = bpe.encode(text, RANKS, P.PATTERN)
+    assert bpe.decode(ids, RANKS, P.PATTERN) == text.encode()
+    if text.count(" ") < 900_000 and text.count("\n") < 900_000:
+        assert ids == bpe.encoder(RANKS, P.PATTERN).encode_ordinary(text)
+    own = token_counts.tokenizer(WORDS)
+    words, _ = token_counts.split(text, WORDS)
+    assert sum(token_counts.word_length(w, own) for w in words) == len(own.encode(text, add_special_tokens=False).ids)
+
+
+def test_words_of_all_planes_are_the_librarys():
+    """Every assigned and unassigned character, beside letters, numbers, apostrophes and white space."""
+    own = token_counts.tokenizer(WORDS)
+    for at in range(0, 0x110000, 64):
+        if 0xD800 <= at < 0xE000:
+            continue
+        c = [chr(at + i) for i in range(64)]
+        texts = ["".join(f"a{x}'s 1{x}b'{x}'T " for x in c)] if at >= 0x250 else [f"a{x}'s 1{x}b'{x}'T " for x in c]
+        for text in texts:
+            words, special = token_counts.split(text, WORDS)
+            assert special + sum(token_counts.word_length(w, own) for w in words) == len(own.encode(text, add_special_tokens=False).ids), hex(at)
+
+
+def test_cache_is_bounded_in_bytes():
+    lookup = token_counts.Counts(token_counts.tokenizer(WORDS), {})
+    assert lookup["x" * 1000] > 1 and not len(lookup)
+
+
 def test_bpe(spark, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_CHARS", 64)
     own = bpe.encoder(RANKS, P.PATTERN)
@@ -99,6 +141,85 @@ def test_language_id_cases(spark):
     assert one.predict("word")[0] == "en"
 
 
+def plain_grams(text):
+    """Buckets of a text's byte n-grams, one at a time."""
+    raw, out = text.encode().lower(), []
+    for order in language_id.ORDERS:
+        for i in range(len(raw) - order + 1):
+            h = 0
+            for j, b in enumerate(raw[i : i + order]):
+                h = (h * 0x01000193 + b + 1 if j else b + 1) % (1 << 32)
+            out.append((h + order - 1) * 0x9E3779B1 % (1 << 32) >> 16)
+    return out
+
+
+def test_model_against_brute_force(spark):
+    """Counts, odds, trust and decoding as by plain loops over n-grams, bits and codewords."""
+    import math
+    import zlib
+
+    train = [(t, lang) for _, t, lang in languages(3, 40)]
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    names, code = sorted({x for _, x in train}), model.code.tolist()
+
+    def odds(texts):
+        rates = []
+        for lang in names:
+            counts = [0.5] * language_id.BUCKETS
+            for t, own in texts:
+                if own == lang:
+                    for g in plain_grams(t):
+                        counts[g] += 1
+            whole = sum(counts)
+            rates.append([c / whole for c in counts])
+        bits = []
+        for b in range(len(code[0])):
+            plus, minus = ([rates[k] for k in range(len(names)) if code[k][b] == side] for side in (1, -1))
+            bits.append([math.log(sum(p) / len(plus)) - math.log(sum(m) / len(minus)) for p, m in zip(zip(*plus), zip(*minus))])
+        return bits
+
+    def margins(bits, text):
+        ids = plain_grams(text)
+        return [math.tanh(4 * sum(bit[g] for g in ids) / len(ids)) for bit in bits]
+
+    whole, halves = odds(train), [odds([x for x in train if zlib.crc32(x[0].encode()) & 1 == h]) for h in (0, 1)]
+    trust = []
+    for k, lang in enumerate(names):
+        own = [margins(halves[1 - (zlib.crc32(t.encode()) & 1)], t) for t, x in train if x == lang]
+        right = [(1 + sum((m[b] > 0) == (code[k][b] > 0) for m in own)) / (2 + len(own)) for b in range(len(code[0]))]
+        trust.append([r / sum(right) for r in right])
+    assert np.allclose(model.trust, trust)
+    for _, text, _ in languages(4, 30):
+        m = margins(whole, text)
+        loss = [sum(t * math.exp(-c * x) for t, c, x in zip(trust[k], code[k], m)) for k in range(len(names))]
+        share = [math.exp(-8 * (x - min(loss))) for x in loss]
+        said, score, _ = model.predict(text)
+        assert said == names[loss.index(min(loss))] and abs(score - max(share) / sum(share)) < 1e-4
+
+
+@pytest.mark.parametrize("few", [1, 2, 5])
+def test_small_classes_are_learned(spark, few):
+    """A language of one document is learned from it, whichever half of the sample that is of."""
+    rng = random.Random(few)
+    text = lambda lang, n: " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randint(1, 3))) for _ in range(n))
+    train = [(text(lang, 40), lang) for lang in ("en", "de") for _ in range(60)]
+    for odd in range(2):
+        small: list = []
+        while len(small) < few:
+            x = text("fr", 40)
+            if language_id.fold(x) == odd:
+                small.append((x, "fr"))
+        model = language_id.fit(spark.createDataFrame(train + small, "text string, lang string"))
+        assert all(model.predict(x)[0] == "fr" for x, _ in small)
+        assert sum(model.predict(text("fr", 40))[0] == "fr" for _ in range(20)) >= 18
+
+
+def test_labels_beyond_the_most_teach_nothing(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    model = language_id.fit(spark.createDataFrame([("aa bb", "x"), ("aa bb", "x"), ("cc", "y"), ("dd", "z")], "text string, lang string"))
+    assert model.languages == ["x", "y"]
+
+
 @pytest.mark.parametrize("n", [3, 5, 7, 9, 30])
 def test_codewords_are_far_apart(n):
     code = language_id.codewords(n)
