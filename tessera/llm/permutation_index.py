@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -50,35 +52,40 @@ class PivotFiles:
         return k * (k + 1) - off
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, rerank: float = RERANK) -> list[tuple]:
-    """(query, id, distance) of the k nearest found for each query in a shard."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    prefix = min(PREFIX, len(pivots))
-    files = PivotFiles(nearest_pivots(x, pivots, prefix), len(pivots))
-    out: list[tuple] = []
-    for query, vector, own in zip(query_ids.tolist(), queries, nearest_pivots(queries, pivots, prefix), strict=True):
-        far = files.footrule(own)
+class Shard:
+    """The vectors of a shard in the order of their ids, with their inverted files."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.pivots = ids[order], x[order], pivots
+        self.prefix = min(PREFIX, len(pivots))
+        self.files = PivotFiles(nearest_pivots(self.x, pivots, self.prefix), len(pivots))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: float = RERANK) -> list[tuple]:
+        """(query, id, distance) of the k nearest found for each query."""
+        ids, out = self.ids, []
         most = max(LEAST, int(np.ceil(rerank * len(ids))))
-        if len(ids) > most:  # all up to the distance that reaches the share, so ties need no choice
-            chosen = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
-        else:
-            chosen = np.arange(len(ids))
-        chosen = chosen[ids[chosen] != query]
-        d = np.sqrt(((x[chosen] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((ids[chosen], d))[:k]
-        out += [(query, int(i), float(s)) for i, s in zip(ids[chosen[best]], d[best])]
-    return out
-
-
-def search(vectors: DataFrame, k: int, is_query, key: str = "vec_id", embedding: str = "embedding", rerank: float = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where ``is_query`` (a SQL predicate on key), the k nearest found.
-
-    Vectors are ordered by their nearest pivots and posted in the pivots' inverted files, shard by shard; the queries go
-    to every shard in blocks. There the files give all footrule distances, and the nearest RERANK of the shard by that
+        for query, vector, own in zip(query_ids.tolist(), queries, nearest_pivots(queries, self.pivots, self.prefix), strict=True):
+            if len(ids) > most:  # all up to the distance that reaches the share, so ties need no choice
+                far = self.files.footrule(own)
+                chosen = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
+            else:
+                chosen = np.arange(len(ids))
+            chosen = chosen[ids[chosen] != query]
+            d = np.sqrt(((self.x[chosen] - vector) ** 2).sum(axis=1))
+            best = np.lexsort((ids[chosen], d))[:k]
+            out += [(query, int(i), float(s)) for i, s in zip(ids[chosen[best]], d[best])]
+        return out
+
+
+def search(vectors: DataFrame, k: int, is_query: Callable[[Column], Column], key: str = "vec_id", embedding: str = "embedding", rerank: float = RERANK) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose key ``is_query`` takes, the k nearest found.
+
+    Vectors are ordered by their nearest pivots and posted in the pivots' inverted files, shard by shard. Each goes to its
+    shard once; the queries go to every shard and pass through it in blocks. There the files give all footrule distances, and the nearest RERANK of the shard by that
     measure are compared by Euclidean distance in double precision, with ``rerank=1`` exactly all. All rows are indexed
     and all are candidates except those with the query's own key. Null, zero, non-finite or odd-length vectors and null
-    keys take no part; repeated query keys are asked once, repeated other keys are candidates each. Ties go to the
+    keys take no part; repeated query keys are asked once, with the vector of least bytes; repeated other keys are candidates each. Ties go to the
     smaller key. No usable rows give no rows.
     """
     spark = vectors.sparkSession
@@ -94,44 +101,45 @@ def search(vectors: DataFrame, k: int, is_query, key: str = "vec_id", embedding:
             yield arrow_batch([("id", pa.int64()), ("raw", pa.binary())], [batch.column("id").filter(pa.array(mask)), as_bytes(x, kind)])
 
     known = map_arrow(rows, usable, "id long, raw binary")
-    asked = F.expr(is_query.replace(key, "id"))
-    size = known.agg(F.count("*").alias("n"), F.count(F.when(asked, 1)).alias("q")).first()
+    queries = known.where(is_query(F.col("id"))).groupBy("id").agg(F.min("raw").alias("raw"))
+    size = known.agg(F.count("*").alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("q")).first()
     sample = known.orderBy(F.xxhash64("raw"), "id").limit(SAMPLE).collect()
     if not size.q:
         return empty(spark, schema)
     distinct = list(dict.fromkeys(bytes(r.raw) for r in sample))[:PIVOTS]
     pivots = spark.sparkContext.broadcast(from_bytes(distinct, kind, dim))
     shards = max(-(-size.n // SHARD_MOST), min(4 * parts(spark), -(-size.n // SHARD_LEAST)))
-    blocks = -(-size.q // BLOCK)
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    base = known.select("id", "raw", F.lit(0).alias("asks"), F.pmod(F.xxhash64("id", "raw"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
-    queries = known.where(asked).select("id", "raw", F.lit(1).alias("asks"), every(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    n = max(parts(spark), min(shards * blocks, 4 * parts(spark)))
-    cells = base.unionByName(queries).repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "asks", "id")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    base = known.select("id", "raw", F.lit(0).alias("asks"), F.pmod(F.xxhash64("id", "raw"), F.lit(shards)).alias("shard"))
+    n = max(parts(spark), min(shards, 4 * parts(spark)))
+    cells = base.unionByName(queries.select("id", "raw", F.lit(1).alias("asks"), every.alias("shard"))).repartition(n, "shard").sortWithinPartitions("shard", "asks", "id")
 
     def run(batches):
-        now, held = None, ([], [], {})
+        now, shard, ids, raws = None, None, [], []
+        asked: list[tuple[int, bytes]] = []
 
         def flush():
-            ids, raw, asks = held
-            if ids and asks:
-                found = search_shard(np.array(ids), from_bytes(raw, kind, dim), np.array(list(asks)), from_bytes(list(asks.values()), kind, dim), pivots.value, k, rerank)
+            nonlocal shard
+            if ids:
+                shard = Shard(np.array(ids), from_bytes(raws, kind, dim), pivots.value)
+                ids.clear()
+                raws.clear()
+            if asked and shard is not None:
+                found = shard.search(np.array([i for i, _ in asked]), from_bytes([raw for _, raw in asked], kind, dim), k, rerank)
                 yield arrow_batch([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())], [list(x) for x in zip(*found)] or [[], [], []])
+            asked.clear()
 
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("shard", "block", "asks", "id", "raw"))
-            for shard, block, asks, i, raw in zip(*cols, strict=True):
-                if (shard, block) != now:
+            for at, asks, i, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "asks", "id", "raw")), strict=True):
+                if at != now or len(asked) == BLOCK:
                     yield from flush()
-                    now, held = (shard, block), ([], [], {})
+                if at != now:
+                    now, shard = at, None
                 if asks:
-                    held[2].setdefault(i, raw)
+                    asked.append((i, raw))
                 else:
-                    held[0].append(i)
-                    held[1].append(raw)
+                    ids.append(i)
+                    raws.append(raw)
         yield from flush()
 
     found = map_arrow(cells, run, "query_id long, vec_id long, score double")

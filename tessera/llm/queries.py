@@ -56,7 +56,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.permutation_index import search
 
-    return search(table(spark, sf_dir, "embeddings"), 10, "vec_id % 100 = 0")
+    return search(table(spark, sf_dir, "embeddings"), 10, lambda i: i % 100 == 0)
 
 
 def op7_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
