@@ -78,8 +78,12 @@ def case_scores(long: DataFrame) -> DataFrame:
 
 
 def metric_summary(long: DataFrame) -> DataFrame:
+    """(metric, average, pass_rate, cases) over the cases that succeeded; the rate is of all of those, also of cases that
+    lack the metric."""
     good = long.where("error is null")
-    return good.groupBy("metric").agg(F.round(F.avg("score"), 6).alias("average"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"), F.count("*").alias("cases"))
+    all_cases = good.agg(F.countDistinct("case_id").alias("all"))  # one row
+    sums = good.groupBy("metric").agg(F.round(F.avg("score"), 6).alias("average"), F.sum(F.col("passed").cast("int")).alias("passes"), F.count("*").alias("cases"))
+    return sums.join(F.broadcast(all_cases)).select("metric", "average", F.round(F.col("passes") / F.col("all"), 6).alias("pass_rate"), "cases")
 
 
 def by_group(cases: DataFrame, column: str) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
-#: A capitalised word of four letters or more; it names an entity where no model says better.
-NAME = r"[A-Z][a-z]{3,}"
+#: A capitalised word of four letters or more, of any script; it names an entity where no model says better.
+NAME = r"\p{Lu}\p{Ll}{3,}"
+#: By rule a name is related to so many of the different names that follow it, wherever in a unit it stands. Pairs so grow
+#: with the text, and not with its square.
+WITHIN = 8
 REPLY = "entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,target:string,rel_type:string,description:string,weight:double>>"
 
 
@@ -28,11 +31,11 @@ def rule_entities(units: DataFrame) -> DataFrame:
     return rows.select("e.name", "e.type", F.lit("").alias("description"), "text_unit_id", F.struct("ord", "at").alias("ord"))
 
 
-def rule_relationships(units: DataFrame) -> DataFrame:
-    """(source, target, rel_type, description, weight, text_unit_id, ord): each name of a unit with all those after it.
-    Pairs are made a name at a time, so no row holds more than the unit's names."""
+def rule_relationships(units: DataFrame, within: int = WITHIN) -> DataFrame:
+    """(source, target, rel_type, description, weight, text_unit_id, ord): each name of a unit with the ``within`` different
+    names that follow it first, over all of its text."""
     each = units.select(F.col("id").alias("text_unit_id"), "ord", names(F.col("raw_text")).alias("all")).select("text_unit_id", "ord", "all", F.posexplode("all").alias("i", "source"))
-    rows = each.select("text_unit_id", "ord", "i", "source", F.posexplode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("j", "target"))
+    rows = each.select("text_unit_id", "ord", "i", "source", F.posexplode(F.slice("all", F.col("i") + 2, F.lit(within))).alias("j", "target"))
     return rows.select("source", "target", F.lit("RELATED_TO").alias("rel_type"), F.lit("").alias("description"), F.lit(1.0).alias("weight"), "text_unit_id", F.struct("ord", "i", "j").alias("ord"))
 
 

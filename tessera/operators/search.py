@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -44,11 +44,12 @@ def community_graph_scores(communities: DataFrame, relevance: DataFrame) -> Data
 
 def global_search(hits: DataFrame, communities: DataFrame, adjacent: DataFrame, k: int, hops: int = 1, graph_weight: float = GRAPH_WEIGHT) -> DataFrame:
     """The k best communities a question: vector ``hits`` (query_id, id, score) of a double pool and those the graph
-    reaches from their members, ranked by the blended score. ``via_graph`` marks a vector score of exactly 0."""
+    reaches from their members, ranked by the blended score; graph scores are taken to nine decimals, so that the order in
+    which they were summed up settles nothing. ``via_graph`` marks a vector score of exactly 0."""
     pool = hits.select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("v"))
     seeds = pool.join(communities, "id").select("query_id", F.explode("entity_names").alias("key")).select("query_id", F.substring_index("key", "|", 1).alias("node")).where("node <> ''")
     g = community_graph_scores(communities, expand(adjacent, seeds, hops, by=("query_id",)))
-    both = pool.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("g", F.lit(0.0)).alias("g"), F.col("v").isNotNull().alias("hit"))
+    both = pool.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.round(F.coalesce("g", F.lit(0.0)), 9).alias("g"), F.col("v").isNotNull().alias("hit"))
     kept = both.where(F.col("hit") | (F.col("g") >= DISCOVER))
     ranked = kept.withColumn("score", F.round((1 - graph_weight) * F.col("v") + graph_weight * F.col("g"), 6)).withColumn("via_graph", F.col("v") == 0.0)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -57,15 +58,30 @@ def global_search(hits: DataFrame, communities: DataFrame, adjacent: DataFrame,
 
 def match_seeds(asked: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, asked, node): entities by exact lower-case name; for a name without one, the first entity in table order
-    where either name holds the other. Names left over are few and are sent to the entities, never paired up by key."""
+    where either name holds the other. Where one holds the other it holds its first three characters, so the two meet by
+    those: a name is looked up by its own beginning among the grams of entities, and by its grams among their beginnings."""
     names = asked.select("query_id", X.strip_ws(F.lower(F.col("name"))).alias("asked")).distinct()
     known = entities.groupBy(F.lower("name").alias("node")).agg(F.min("ord").alias("o"))
     exact = names.join(known, names.asked == known.node).select("query_id", "asked", "node")
     rest = names.join(exact, ["query_id", "asked"], "left_anti").select("asked").distinct()
-    near = known.join(rest, X.fuzzy_contains("asked", "node")).groupBy("asked").agg(F.min_by("node", "o").alias("node"))
+    inner = rest.select("asked", _beginning("asked").alias("gram")).join(known.select("node", "o", F.explode(_grams("node")).alias("gram")), "gram")
+    outer = rest.select("asked", F.explode(_grams("asked")).alias("gram")).join(known.select("node", "o", _beginning("node").alias("gram")), "gram")
+    met = inner.where(F.contains("node", "asked")).unionByName(outer.where(F.contains("asked", "node")))
+    near = met.groupBy("asked").agg(F.min_by("node", "o").alias("node"))
     return exact.unionByName(names.join(exact, ["query_id", "asked"], "left_anti").join(near, "asked").select("query_id", "asked", "node"))
 
 
+def _beginning(name: str) -> Column:
+    return F.substring(name, 1, 3)
+
+
+def _grams(name: str) -> Column:
+    """All different stretches of up to three characters of a name, and the empty one."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    parts = F.flatten(F.transform(at, lambda i: F.array(*(F.substring(F.col(name), i, F.lit(n)) for n in (0, 1, 2, 3)))))
+    return F.array_distinct(parts)
+
+
 def neighbours(seeds: DataFrame, adjacent: DataFrame, hops: int = 1, most: int = 10) -> DataFrame:
     """(query_id, node, score, rank) of the best nodes reached besides the seeds."""
     reached = expand(adjacent, seeds, hops, by=("query_id",)).join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti")

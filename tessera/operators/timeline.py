@@ -22,8 +22,9 @@ def slide_intervals(slides: DataFrame, segments: DataFrame | None = None, video:
     return out.join(last, F.col(video) == F.col("__video"), "left").withColumn("end_time", F.coalesce("end_time", "__last", start)).drop("__video", "__last")
 
 
-def overlap_join(slides: DataFrame, segments: DataFrame, keys: list[str], video: str = "video_name", bucket: float = 60.0) -> DataFrame:
-    """(keys, transcript): the speech that overlaps each slide, in order of start; every slide stays.
+def overlap_join(slides: DataFrame, segments: DataFrame, keys: list[str], video: str = "video_name", bucket: float = 60.0, counted: bool = False) -> DataFrame:
+    """(keys, transcript[, segments]): the speech that overlaps each slide, in order of start, and how many segments it is;
+    every slide stays.
 
     An overlap is ``seg.end > slide.start and seg.start < slide.end``. Both sides are dealt into time buckets of a
     video, so the join is on equal keys; a pair is kept in the one bucket where its overlap begins.
@@ -32,8 +33,9 @@ def overlap_join(slides: DataFrame, segments: DataFrame, keys: list[str], video:
     left = slides.where("end_time >= start_time").select(*keys, F.col(video).alias("v"), F.col("start_time").alias("a"), F.col("end_time").alias("b"), spread(F.col("start_time"), F.col("end_time")).alias("bucket"))
     right = segments.where("end >= start").select(F.col(video).alias("v"), F.col("start").alias("s"), F.col("end").alias("e"), "text", spread(F.col("start"), F.col("end")).alias("bucket"))
     met = left.join(right, ["v", "bucket"]).where((F.col("e") > F.col("a")) & (F.col("s") < F.col("b")) & (F.col("bucket") == F.floor(F.greatest("a", "s") / bucket)))
-    said = met.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "e", "text"))), lambda x: x.text), " ").alias("transcript"))
-    return slides.join(said, keys, "left").withColumn("transcript", F.coalesce("transcript", F.lit("")))
+    said = met.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "e", "text"))), lambda x: x.text), " ").alias("transcript"), F.count("*").alias("segments"))
+    out = slides.join(said, keys, "left").withColumns({"transcript": F.coalesce("transcript", F.lit("")), "segments": F.coalesce("segments", F.lit(0))})
+    return out if counted else out.drop("segments")
 
 
 def as_of(moments: DataFrame, slides: DataFrame, key: str, at: str, start: str, value: str, bucket: float = 3600.0) -> DataFrame:

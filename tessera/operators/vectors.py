@@ -33,35 +33,75 @@ def top_k(table: DataFrame, query: Sequence[float], k: int, key: str, vector: st
 QUERY_BLOCK = 4096
 
 
+#: Queries whose distances to a batch of rows are one matrix; scores are rounded, so rows this near the k-th are looked at.
+MATRIX, SLACK = 256, 1e-5
+
+
+def _matrix(values, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which vectors are usable, those as rows): not null, of ``dim`` components, all finite."""
+    ok = np.array([v is not None and len(v) == dim for v in values], dtype=bool)
+    x = np.array([np.asarray(v, dtype=np.float64) for v, good in zip(values, ok) if good]).reshape(-1, dim)
+    fine = np.isfinite(x).all(axis=1)
+    ok[np.flatnonzero(ok)[~fine]] = False
+    return ok, x[fine]
+
+
+class Best:
+    """The k best rows so far of each query, by score, then key."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.norm = (queries**2).sum(axis=1)
+        self.kept: list[tuple] = [(None, None)] * len(queries)
+
+    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+        norm, k = (x**2).sum(axis=1), min(self.k, len(x))
+        for at in range(0, len(self.q), MATRIX):
+            q = self.q[at : at + MATRIX]
+            far = norm[None, :] - 2 * q @ x.T + self.norm[at : at + MATRIX, None]
+            reach = np.partition(far, k - 1, axis=1)[:, k - 1] + SLACK * (1 + self.norm[at : at + MATRIX])
+            for i, some in enumerate(far <= reach[:, None], at):
+                near = np.flatnonzero(some)
+                self._keep(i, keys[near], np.round(1 - ((x[near] - self.q[i]) ** 2).sum(axis=1), 6))
+
+    def _keep(self, i: int, keys: np.ndarray, scores: np.ndarray) -> None:
+        if self.kept[i][0] is not None:
+            keys, scores = np.concatenate([self.kept[i][0], keys]), np.concatenate([self.kept[i][1], scores])
+        best = np.lexsort((keys, -scores))[: self.k]
+        self.kept[i] = keys[best], scores[best]
+
+
 def top_k_batched(table: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding") -> DataFrame:
     """(query_key, key, score, rank) for a batch of queries by squared distance.
 
-    Queries come in blocks of QUERY_BLOCK vectors, which bounds what is broadcast; a task multiplies matrices and keeps
-    its k best for each query, so what is shuffled is k rows for each query and task.
+    Queries come in blocks of QUERY_BLOCK vectors, which bounds what is broadcast; a task multiplies matrices, computes the
+    nearest anew in full precision, and keeps its k best for each query, so what is shuffled is k rows for each query and
+    task. Vectors that are null, of another length than the queries' first or not finite take no part.
     """
-    spark, dim = table.sparkSession, None
+    spark = table.sparkSession
     ids = [f"{query_key} {queries.schema[query_key].dataType.simpleString()}", f"{key} {table.schema[key].dataType.simpleString()}"]
     out = None
-    rows = queries.select(query_key, vector)
+    rows = queries.select(query_key, vector).where(F.col(vector).isNotNull())
     blocks = max(1, -(-rows.count() // QUERY_BLOCK))
     for b in range(blocks):
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
         asked = block.collect()
         if not asked:
             continue
-        sent = spark.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64)))
+        dim = len(asked[0][1])
+        ok, q = _matrix([[np.nan if c is None else c for c in r[1]] for r in asked], dim)
+        sent = spark.sparkContext.broadcast(([r[0] for r, good in zip(asked, ok) if good], q))
 
-        def run(frames):
-            names, q = sent.value  # noqa: B023
+        def run(frames, dim=dim, sent=sent):
+            names, q = sent.value
+            best = Best(q, k)
             for pdf in frames:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                keys = pdf[key].to_numpy()
-                for i, name in enumerate(names):
-                    s = np.round(1 - ((x - q[i]) ** 2).sum(axis=1), 6)
-                    best = np.lexsort((keys, -s))[:k]
-                    yield pd.DataFrame({query_key: name, key: keys[best], "score": s[best]})
+                good, x = _matrix(pdf[vector].tolist(), dim)
+                if len(x) and len(q):
+                    best.add(pdf[key].to_numpy()[good], x)
+            parts = [pd.DataFrame({query_key: name, key: keys, "score": scores}) for name, (keys, scores) in zip(names, best.kept) if keys is not None]
+            if parts:
+                yield pd.concat(parts)
 
         found = table.select(key, vector).mapInPandas(run, f"{ids[0]}, {ids[1]}, score double")
         out = found if out is None else out.unionByName(found)

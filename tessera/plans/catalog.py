@@ -130,9 +130,8 @@ def slide_intervals(t):
 SELECT r.id, count(m.id) AS n, md5(coalesce(string_agg(m.text, ' ' ORDER BY m.s, m.e, m.text), '')) AS transcript FROM records r LEFT JOIN met m ON m.id = r.id GROUP BY r.id""")
 def transcript_overlap_join(t):
     slides = t.records().select("id", "video_name", "start_time", "end_time")
-    out = timeline.overlap_join(slides, t.speech(), ["id"])
-    met = timeline.overlap_join(slides, t.speech().withColumn("text", F.lit("x")), ["id"]).select("id", F.length(F.regexp_replace("transcript", "[^x]", "")).cast("long").alias("n"))
-    return out.join(met, "id").select("id", "n", F.md5("transcript").alias("transcript"))
+    out = timeline.overlap_join(slides, t.speech(), ["id"], counted=True)
+    return out.select("id", F.col("segments").cast("long").alias("n"), F.md5("transcript").alias("transcript"))
 
 
 @query(f"""WITH {RECORDS}, {SPEECH}, slides AS (SELECT video_name, start_time, max(id) AS slide FROM records GROUP BY 1, 2)
@@ -224,7 +223,7 @@ def url_video_id(t):
 
 @query(r"""SELECT doc_id, printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS stamp, printf('%d:%02d', n_chars // 60, n_chars % 60) AS short,
  CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS padded, 'https://x/?a=1&t=' || CAST(n_chars AS VARCHAR) || 's' AS link,
- replace(replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS shown, least(greatest(n_chars / 5000.0, 0), 1)::DOUBLE AS clamped,
+ replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS shown, least(greatest(n_chars / 5000.0, 0), 1)::DOUBLE AS clamped,
  CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS judged, CASE doc_id % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 WHEN 2 THEN 0.4 ELSE 1.0 END::DOUBLE AS rated FROM documents""")
 def scalar_functions(t):
     pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -235,7 +234,7 @@ def scalar_functions(t):
     )
 
 
-@query(r"SELECT doc_id, substr(text, 1, 20) AS rest, coalesce(source, 'unknown') AS video, n_chars / 10.0::DOUBLE AS seconds FROM documents WHERE source IS NULL OR source NOT LIKE '%,%'")
+@query(r"SELECT doc_id, text AS rest, CASE WHEN source LIKE '%,%' THEN NULL ELSE coalesce(source, 'unknown') END AS video, CASE WHEN source LIKE '%,%' THEN NULL ELSE n_chars / 10.0::DOUBLE END AS seconds FROM documents")
 def source_headers(t):
     """Headers read back; a source with a comma in it is no header to the pattern, so video and seconds are null."""
     made = F.concat(F.lit("[SOURCE: "), F.coalesce("source", F.lit("unknown")), F.lit(", START: "), (F.col("n_chars") / 10.0).cast("string"), F.lit(", END: 9.5, ID: x]"))
@@ -346,14 +345,13 @@ letters AS (SELECT substr(lower(name), 1, 1) AS id, count(DISTINCT lower(name))
 start AS (SELECT DISTINCT query_id, node FROM hits JOIN members USING (id)), most AS (SELECT max(weight) AS m FROM adjacent),
 hop AS (SELECT s.query_id, a.neighbour AS node, max(a.weight / m) AS score FROM start s JOIN adjacent a USING (node), most WHERE NOT EXISTS (SELECT 1 FROM start t WHERE t.query_id = s.query_id AND t.node = a.neighbour) GROUP BY 1, 2),
 reach AS (SELECT query_id, node, 1.0::DOUBLE AS score FROM start UNION ALL SELECT * FROM hop), g AS (SELECT query_id, id, sum(score) / n AS g FROM reach JOIN members USING (node) JOIN letters USING (id) GROUP BY query_id, id, n),
-merged AS (SELECT query_id, id, coalesce(v, 0)::DOUBLE AS v, coalesce(g, 0)::DOUBLE AS g, v IS NOT NULL AS hit FROM hits FULL JOIN g USING (query_id, id)),
+merged AS (SELECT query_id, id, coalesce(v, 0)::DOUBLE AS v, round(coalesce(g, 0)::DOUBLE, 9) AS g, v IS NOT NULL AS hit FROM hits FULL JOIN g USING (query_id, id)),
 top AS (SELECT query_id, id, round(0.7 * v + 0.3 * g, 6) AS score, v = 0 AS via_graph FROM merged WHERE hit OR g >= 0.05)
 SELECT query_id, id, score, via_graph FROM top QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
 def global_search(t):
     """Communities by blended score; the vector hits are the letters of a question's first names."""
     hits = t.asked().groupBy("query_id", F.substring(F.lower("name"), 1, 1).alias("id")).agg(F.max(F.round(0.9 - F.col("at") * 0.2, 6)).alias("score"))
     known = saved(t.communities(), "communities")
-    hits = hits.join(known.select("id"), "id", "left")
     return search.global_search(hits, known, saved(graph.both_ways(t.edges()), "adjacent"), 5).select("query_id", "id", "score", "via_graph")
 
 
@@ -365,7 +363,7 @@ near AS (SELECT query_id, asked, arg_min(canonical, ord) AS node FROM want JOIN
 SELECT * FROM exact UNION ALL SELECT * FROM near""")
 def entity_seed_match(t):
     asked = t.asked().select("query_id", F.when(F.col("at") % 2 == 0, F.lower("name")).otherwise(F.substring(F.lower("name"), 2, 5)).alias("name"))
-    return search.match_seeds(asked, saved(t.entities(), "entities"))
+    return search.match_seeds(asked, t.entities())
 
 
 @query(f"WITH {HOP1} SELECT query_id, node, round(score, 6) AS score FROM hop1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) <= 10")
@@ -387,7 +385,7 @@ def seed_relationships(t):
 
 @query(f"WITH {ENTITIES}, m AS (SELECT DISTINCT lower(n.name) AS canonical, coalesce(d.source, 'unknown') AS meeting FROM names n JOIN documents d USING (doc_id)) SELECT e.name AS id, substr(e.canonical, 1, 1) AS community_id, (SELECT string_agg(meeting, ',' ORDER BY meeting) FROM m WHERE m.canonical = e.canonical) AS meetings FROM entities e")
 def graph_view_nodes(t):
-    nodes = views.graph_nodes(saved(t.entities(), "entities"), t.units(), t.communities())
+    nodes = views.graph_nodes(t.entities(), t.units(), t.communities())
     return nodes.select("id", "community_id", F.array_join("meetings", ",").alias("meetings"))
 
 
@@ -409,7 +407,7 @@ def keyword_search(t):
 
 @query(f"WITH {PAIRS}, u AS (SELECT count(*) AS n FROM documents) SELECT (SELECT n FROM u) AS text_units, (SELECT count(DISTINCT lower(name)) FROM names) AS entities, (SELECT count(*) FROM edges) AS relationships, (SELECT count(DISTINCT substr(lower(name), 1, 1)) FROM names) AS communities, 'CONCEPT' AS entity_types, 'RELATED_TO' AS rel_types")
 def index_meta(t):
-    entities = saved(t.entities(), "entities")
+    entities = t.entities()
     meta = resolve.index_meta(t.units(), entities, resolve.merge_relationships(t.relationships(), entities), t.communities())
     return meta.select("text_units", "entities", "relationships", "communities", F.array_join("entity_types", ",").alias("entity_types"), F.array_join("rel_types", ",").alias("rel_types"))
 
@@ -429,7 +427,7 @@ def _chunks(t: Tables) -> DataFrame:
 _TOP = HITS + """, best AS (SELECT r.query_id, r.vec_id, r.rank AS place, d.text, coalesce(d.source, 'unknown') || '.mp4' AS video FROM ranked r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 5)"""
 
 
-@query(f"""WITH {_TOP}, {NAMES}, e AS (SELECT query_id, place, idx, n.name FROM best b JOIN names n ON n.doc_id = b.vec_id AND n.idx <= 5)
+@query(f"""WITH {_TOP}, {NAMES}, e AS (SELECT query_id, place, idx, n.name FROM best b JOIN names n ON n.doc_id = b.vec_id)
 SELECT query_id, arg_min(name, (CASE WHEN length(name) > 6 THEN 0 ELSE 1 END, place, idx)) AS name, count(*) AS frequency FROM e GROUP BY query_id, lower(name)""")
 def consolidate_entities(t):
     return organize.consolidated_entities(_chunks(t)).select("query_id", "name", "frequency")
@@ -448,7 +446,7 @@ def cited_chunks(t):
     return answers.resolved_citations(said, chunks).select("query_id", "chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "title")
 
 
-@query(f"WITH {_TOP}, {NAMES}, e AS (SELECT query_id, n.name, min((place, idx)) AS o FROM best b JOIN names n ON n.doc_id = b.vec_id AND n.idx <= 5 WHERE place <= 3 GROUP BY 1, 2) SELECT query_id, string_agg(name, ',' ORDER BY o) AS names FROM e GROUP BY query_id")
+@query(f"WITH {_TOP}, {NAMES}, e AS (SELECT query_id, n.name, min((place, idx)) AS o FROM best b JOIN names n ON n.doc_id = b.vec_id WHERE place <= 3 GROUP BY 1, 2) SELECT query_id, string_agg(name, ',' ORDER BY o) AS names FROM e GROUP BY query_id")
 def cited_entities(t):
     chunks = saved(_chunks(t), "chunks")
     said = answers.extractive_answers(chunks.select("query_id").distinct(), chunks)
@@ -502,7 +500,7 @@ def _cases(t: Tables) -> DataFrame:
 
 
 _CASES = r"""d AS (SELECT documents.*, quality, toxic, CASE WHEN doc_id % 11 = 0 THEN 'failed' END AS error, doc_id % 13 = 0 AS fb, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'local' ELSE 'global' END AS query_type,
- lower('What is the ' || substr(text, 1, 40)) AS q, substr(text, 21, 200) || ' [REF:' || CAST(doc_id AS VARCHAR) || '] [REF:x]' AS a, substr(text, 1, 600) AS c FROM documents LEFT JOIN labels USING (doc_id)),
+ lower('What is the ' || text) AS q, text || ' [REF:' || CAST(doc_id AS VARCHAR) || '] [REF:x]' AS a, text AS c FROM documents LEFT JOIN labels USING (doc_id)),
 w AS (SELECT *, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')) AS aw, list_distinct(regexp_extract_all(lower(c), '[\p{L}\p{N}_]+')) AS cw,
  list_filter(list_distinct(regexp_extract_all(q, '[\p{L}\p{N}_]+')), lambda x: NOT list_contains(['the','a','an','is','are','was','were','what','who','how','when','where','which','that','this','of','in','to','for','with','on','at','by','from','and','or'], x)) AS qw FROM d),
 m AS (SELECT *, CASE WHEN error IS NOT NULL THEN 0 WHEN fb THEN 1 WHEN len(cw) = 0 THEN 0 ELSE least(1, 3 * len(list_intersect(aw, cw)) / len(list_distinct(list_concat(aw, cw)))) END::DOUBLE AS faithfulness,

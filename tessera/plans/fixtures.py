@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import extract, resolve
+from tessera.sources.scratch import saved
 
 
 class Tables:
-    """Tables of a folder, and what is derived from them. Each is a plan, read when it is used."""
+    """Tables of a folder, and what is derived from them. Each is a plan, read when it is used; what several steps of a
+    query read is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._names: DataFrame | None = None
+        self._entities: DataFrame | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -34,11 +38,16 @@ class Tables:
 
     def names(self) -> DataFrame:
         """(unit, doc_id, at, name): different capitalised words of a document in order."""
-        return self.units().select(F.col("id").alias("unit"), F.col("ord").alias("doc_id"), F.posexplode(extract.names(F.col("raw_text"))).alias("at", "name"))
+        if self._names is None:
+            found = self.units().select(F.col("id").alias("unit"), F.col("ord").alias("doc_id"), F.posexplode(extract.names(F.col("raw_text"))).alias("at", "name"))
+            self._names = saved(found, "names")
+        return self._names
 
     def entities(self) -> DataFrame:
         found = self.names().select("name", F.lit("concept").alias("type"), F.lit("").alias("description"), F.col("unit").alias("text_unit_id"), F.struct("doc_id", "at").alias("ord"))
-        return resolve.merge_entities(found)
+        if self._entities is None:
+            self._entities = saved(resolve.merge_entities(found), "entities")
+        return self._entities
 
     def relationships(self) -> DataFrame:
         return extract.rule_relationships(self.units())
@@ -68,16 +77,16 @@ RECORDS = """records AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source,
  round(floor(doc_id / 20) * 60.0::DOUBLE + length(text) / 15.0::DOUBLE, 2) AS end_time, split_part(text, chr(10), 1) AS ocr_text, text AS transcript, doc_id AS ord FROM documents)"""
 SPEECH = """speech AS (SELECT 'src' || CAST(conv_id % 20 AS VARCHAR) || '.mp4' AS video_name, conv_id * 7.0::DOUBLE + turn * 11.0::DOUBLE AS "start",
  conv_id * 7.0::DOUBLE + turn * 11.0::DOUBLE + length(text) / 15.0::DOUBLE AS "end", text, conv_id, turn FROM conversations)"""
-NAMES = """raw_names AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) AS p FROM documents),
+NAMES = r"""raw_names AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}'), 1) AS p FROM documents),
 names AS (SELECT doc_id, substr(md5('doc:' || CAST(doc_id AS VARCHAR)), 1, 16) AS unit, name, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) AS idx FROM raw_names GROUP BY doc_id, name)"""
 ENTITIES = NAMES + """,
 entities AS (SELECT lower(name) AS canonical, arg_min(name, (doc_id, idx)) AS name, count(DISTINCT unit) AS units, min((doc_id, idx)) AS ord FROM names GROUP BY lower(name))"""
 PAIRS = NAMES + """,
-pairs AS (SELECT a.doc_id, a.unit, a.name AS source, b.name AS target, a.idx AS i, b.idx AS j FROM names a JOIN names b ON a.doc_id = b.doc_id AND a.idx < b.idx AND b.idx <= 8),
+pairs AS (SELECT a.doc_id, a.unit, a.name AS source, b.name AS target, a.idx AS i, b.idx AS j FROM names a JOIN names b ON a.doc_id = b.doc_id AND a.idx < b.idx AND b.idx <= a.idx + 8),
 edges AS (SELECT lower(source) AS source, lower(target) AS target, CAST(count(*) AS DOUBLE) AS weight FROM pairs GROUP BY 1, 2),
 adjacent AS (SELECT source AS node, target AS neighbour, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)"""
-ASKED = """raw_asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) AS p FROM benchmark),
-asked AS (SELECT query_id, name, idx FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS idx FROM raw_asked GROUP BY query_id, name) WHERE idx <= 4),
+ASKED = r"""raw_asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}')) AS name, generate_subscripts(regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}'), 1) AS p FROM benchmark),
+asked AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS idx FROM raw_asked GROUP BY query_id, name),
 seeds AS (SELECT DISTINCT query_id, lower(name) AS node FROM asked)"""
 HOP1 = PAIRS + ", " + ASKED + """,
 most AS (SELECT max(weight) AS m FROM adjacent),

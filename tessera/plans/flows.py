@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import answer, chunk, communities, evaluate, extract, graph, organize, resolve, search, vectors
-from tessera.sources import sinks
+from tessera.sources import readers, sinks
 from tessera.sources.readers import Settings
 from tessera.sources.scratch import saved
 from tessera.sources.shipping import ship
@@ -44,6 +44,18 @@ def build_index(records: DataFrame, options: Settings | None = None, method: str
     return Index(units, entities, relationships, groups, saved(vectors.vector_table(units, "text_units"), "vectors"), saved(vectors.vector_table(groups, "communities"), "vectors"))
 
 
+def save_index(index: Index, folder: str) -> None:
+    """The index's tables in a folder, with a row of counts, to be asked in a later session."""
+    meta = resolve.index_meta(index.units, index.entities, index.relationships, index.communities)
+    sinks.save_index(folder, **vars(index), meta=meta)
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    tables = readers.load_index(spark, folder)
+    tables.pop("meta", None)
+    return Index(**tables)
+
+
 def ask(index: Index, questions: DataFrame, options: Settings | None = None, meetings: list[str] = ()) -> dict[str, DataFrame]:
     """Answers of a batch of ``questions`` (query_id, query): classified, searched, organised, answered and cited."""
     ship(questions.sparkSession)

@@ -54,7 +54,8 @@ def slide_images(spark: SparkSession, folder: str) -> DataFrame:
     """(slide, path) of ``slide_<number>_*.jpg`` files; of equal numbers the later name. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     number = F.regexp_extract("path", r"(?i)slide_(\d+)_[^/]*\.jpe?g$", 1)
-    return files.select(X.zero_filled(number).alias("slide"), "path").where("slide <> '000' and slide <> ''").groupBy("slide").agg(F.max("path").alias("path"))
+    found = files.select(number.alias("digits"), "path").where("digits <> ''")
+    return found.select(X.zero_filled(F.col("digits")).alias("slide"), "path").groupBy("slide").agg(F.max("path").alias("path"))
 
 
 def with_images(slides: DataFrame, images: DataFrame) -> DataFrame:
@@ -118,6 +119,22 @@ def index_table(spark: SparkSession, folder: str, name: str, schema: str) -> Dat
     return spark.createDataFrame([], schema)
 
 
+#: Tables of an index that a build saves, and one row of counts beside them.
+INDEX_TABLES = ["units", "entities", "relationships", "communities", "unit_vectors", "community_vectors", "meta"]
+
+
+def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an index as they were saved, by name; all but the counts must be there."""
+    out = {}
+    for name in INDEX_TABLES:
+        try:
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException:
+            if name != "meta":
+                raise FileNotFoundError(f"no table {name} of an index in {folder}") from None
+    return out
+
+
 def decoded_lists(df: DataFrame, *columns: str) -> DataFrame:
     """Columns of lists that an older layout wrote as JSON text."""
     return df.withColumns({c: X.string_list(c) for c in columns})
