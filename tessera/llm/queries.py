@@ -23,6 +23,14 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def quotation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op1 on all conversations as mail would have them, each message under two levels of quotations."""
+    from tessera.llm.quotes import link_quotations, with_replies_quoted
+
+    out = link_quotations(with_replies_quoted(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("text"), "max_level", "n_quotes", "n_linked", "parent_turn", "thread_turn", "reply_depth")
+
+
 def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import archive_and_read
 
@@ -92,12 +100,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
+    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)} | {"quotation_replies": quotation_replies, "pipeline": pipeline}
 
 
 #: SQL for the operators it can express. The others hash with XXH64, run a tokenizer or a model, or scan bytes; tests hold
 #: them against brute force, exact round trips or held-out labels.
 ORACLE_SQL = {
+    "quotation_replies": r"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS n FROM conversations),
+q AS (SELECT m.*, coalesce(a.n, 0) AS n1, coalesce(b.n, 0) AS n2 FROM m LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2)
+SELECT conv_id, turn, role, md5(trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS text, CAST(CASE WHEN n2 > 0 THEN 2 WHEN n1 > 0 THEN 1 ELSE 0 END AS INT) AS max_level, CAST(n1 + n2 AS INT) AS n_quotes, CAST(n1 + n2 AS INT) AS n_linked,
+ CASE WHEN n1 > 0 THEN turn - 1 WHEN n2 > 0 THEN turn - 2 END AS parent_turn, min(turn) OVER (PARTITION BY conv_id) AS thread_turn, CAST(rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS reply_depth FROM q""",
     "op2_capture_index": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages),
 b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM p),

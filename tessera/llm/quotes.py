@@ -14,7 +14,9 @@ from pyspark.sql.window import Window as W
 from tessera.llm.common import arrow_batch, discard, map_arrow, pieces, saved
 
 _mark = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$")
-_attribution = re.compile(r"^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{0,40}:\s*$")
+#: A line that introduces a deeper quotation: it ends with a colon, after an address or after a date or time and a name,
+#: in whatever language; or after one of the verbs that mail programs use, which are fixed values.
+_attribution = re.compile(r"^(?=.{1,300}$)(.*\b(wrote|writes|said|schrieb|a écrit|escribió)\b.*|.*\S@\S.*|.*\d[\d./:-]*\d.*[^\W\d_]{2,}.*):\s*$")
 _space = re.compile(r"\s+")
 #: Letters and digits of a unit that may lead to another conversation, at least; shorter ones ("ok", "thanks") are looked
 #: for in their own conversation only, as they say nothing about which other one they come from.
@@ -34,11 +36,11 @@ def lines_by_level(text: str) -> list[tuple[int, str]]:
     return [(n, x) for i, (n, x) in enumerate(out) if not (i + 1 < len(out) and out[i + 1][0] > n and _attribution.match(x))]
 
 
-def any_hash(text: str) -> bytes | None:
-    """A hash of the text without differences of case, form and white space: SHORT bytes if it has fewer than LEAST
+def any_hash(text: str, least: int = LEAST) -> bytes | None:
+    """A hash of the text without differences of case, form and white space: SHORT bytes if it has fewer than ``least``
     letters and digits, else 16; None if nothing is left."""
     plain = _space.sub(" ", unicodedata.normalize("NFKC", text).casefold()).strip()
-    size = 16 if sum(map(str.isalnum, plain)) >= LEAST else SHORT
+    size = 16 if sum(map(str.isalnum, plain)) >= least else SHORT
     return hashlib.blake2b(plain.encode(), digest_size=size).digest() if plain else None
 
 
@@ -48,7 +50,7 @@ def unit_hash(text: str) -> bytes | None:
     return h if h and len(h) != SHORT else None
 
 
-def parse(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int, int, bytes]]]:
+def parse(text: str, least: int = LEAST) -> tuple[str, list[bytes], list[tuple[int, int, int, int, bytes]]]:
     """(own text, hashes of its units, (passage, level, WHOLE or LINE, line, hash) of each quoted unit).
 
     A passage is a stretch of lines of one level, cut at lines that are blank. An original's units are its whole own
@@ -67,23 +69,23 @@ def parse(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int, int, b
             passages.append((n, []))
         passages[-1][1].append(x)
         last = n
-    units = {any_hash(own), *(any_hash(x) for n, p in passages if n == 0 for x in ("\n".join(p), *p))} - {None}
+    units = {any_hash(own, least), *(any_hash(x, least) for n, p in passages if n == 0 for x in ("\n".join(p), *p))} - {None}
     quoted = []
     for k, (n, p) in enumerate([p for p in passages if p[0] > 0]):
         for kind, i, x in [(WHOLE, 0, "\n".join(p)), *((LINE, i, x) for i, x in enumerate(p))]:
-            h = any_hash(x)
+            h = any_hash(x, least)
             if h:
                 quoted.append((k, n, kind, i, h))
     return own, sorted(units), quoted
 
 
-def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least: int = LEAST) -> DataFrame:
     """Messages without their quotations, each with what it quotes, in the order of reply.
 
     Columns: conversation, turn, role, text (without quoted lines and attributions), max_level, n_quotes (passages),
     n_linked, parent_conv and parent_turn, thread_turn, reply_depth. A passage's original is the first message that has
     it as a passage, a line or whole in its own text: of the same conversation, at an earlier turn; else of all others,
-    the smallest (conversation, turn), unless it has fewer than LEAST letters and digits. A passage that is nowhere whole links by its first line that is. The parent is
+    the smallest (conversation, turn), unless it has fewer than ``least`` letters and digits. A passage that is nowhere whole links by its first line that is. The parent is
     the original of the shallowest linked passage, of the same conversation if there is one, and the latest turn of
     those. A thread is what replies lead back to within a conversation: ``thread_turn`` is its first message's turn,
     so rows by (conversation, thread_turn, turn) have every reply after what it answers. A message that quotes nothing
@@ -99,7 +101,7 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
 
     def run(batches):
         for part in pieces(batches, "text"):
-            said = [parse(x) for x in part.column("text").to_pylist()]
+            said = [parse(x, least) for x in part.column("text").to_pylist()]
             quotes = [[dict(zip(("passage", "level", "kind", "line", "hash"), q)) for q in x[2]] for x in said]
             unit = pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("kind", pa.int32()), ("line", pa.int32()), ("hash", pa.binary())])
             yield arrow_batch(
@@ -142,6 +144,20 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def with_replies_quoted(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """``messages`` as mail has them: each opens with the message of the turn before, quoted, and above that with the one
+    two turns before, quoted twice. Turns without one before them, and null texts, are quoted as nothing. Turns are met by
+    equal keys, so a long conversation is no group."""
+    marked = lambda c, mark: F.concat(F.lit(mark), F.regexp_replace(c, "\n", "\n" + mark))
+    out = messages
+    for back in (1, 2):
+        before = messages.select(F.col(conversation).alias(f"c{back}"), (F.col(turn) + back).alias(f"t{back}"), F.col(text).alias(f"before{back}"))
+        out = out.join(before, (out[conversation] == F.col(f"c{back}")) & (out[turn] == F.col(f"t{back}")), "left")
+    quoted = F.concat_ws("\n", marked(F.col("before2"), "> > "), marked(F.col("before1"), "> "))
+    whole = F.concat(F.when(quoted != "", F.concat(quoted, F.lit("\n\n"))).otherwise(""), F.coalesce(text, F.lit("")))
+    return out.withColumn(text, whole).select(*messages.columns)
+
+
 def thread_roots(up: DataFrame) -> DataFrame:
     """(conv, turn, root, depth) for messages with a parent (conv, turn, up), by doubling: each round looks up where
     one's ancestor had come to, so the rounds are the logarithm of the longest thread."""

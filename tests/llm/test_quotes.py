@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.quotes import LEAST, link_quotations, lines_by_level, parse, thread_roots, unit_hash
+from tessera.llm.quotes import LEAST, SHORT, link_quotations, lines_by_level, parse, thread_roots, unit_hash
 
 SCHEMA = "conv_id long, turn long, role string, text string, first string, level int"
 
@@ -19,6 +19,26 @@ def test_levels_and_attributions():
     assert parse("") == ("", [], [])
 
 
+def test_attributions_by_structure():
+    for line in ("Ann wrote:", "On 3 May 2024 at 10:12, Ann Lee wrote:", "ann@example.org:", "Le 3/5/24, Anne a écrit :".replace(" :", ":"), "2024-05-03 10:12 Анна пишет:"):
+        assert lines_by_level(f"{line}\n> quoted line") == [(1, "quoted line")], line
+    for line in ("I disagree with this:", "See below", "Two things:"):
+        assert lines_by_level(f"{line}\n> quoted line") == [(0, line), (1, "quoted line")], line
+
+
+def test_least_is_a_parameter(spark):
+    rows = [(1, 1, "user", "Sounds good to me"), (2, 1, "user", "> Sounds good to me\nand me")]
+    linked = lambda **more: {r.conv_id: r.n_linked for r in link_quotations(frame(spark, rows), **more).collect()}
+    assert linked() == {1: 0, 2: 1} and linked(least=20) == {1: 0, 2: 0}
+
+
+def test_very_long_text(spark):
+    lines = [f"line number {i} of a very long message" for i in range(60_000)]
+    rows = [(1, 1, "user", "\n".join(lines)), (1, 2, "assistant", "\n".join("> " + x for x in lines) + "\n\nread it"), (1, 3, "user", "x" * 2_000_000)]
+    got = {r.turn: r for r in link_quotations(frame(spark, rows)).collect()}
+    assert (got[2].text, got[2].n_quotes, got[2].n_linked, got[2].parent_turn) == ("read it", 1, 1, 1) and len(got[3].text) == 2_000_000
+
+
 def brute(rows):
     """Every quoted passage against every message, one pair at a time."""
     said = [(c, t, r, parse(x or "")) for c, t, r, x in rows]
@@ -29,8 +49,7 @@ def brute(rows):
         inside = min([t2 for c2, t2 in have if c2 == c], default=None)
         if inside is not None and inside < t:
             return (c, inside)
-        best = min(have, default=None)
-        return best if best and best[0] != c else None
+        return min(((c2, t2) for c2, t2 in have if c2 != c and len(h) != SHORT), default=None)
 
     parents = {}
     for c, t, r, (own, _, quoted) in said:
