@@ -48,6 +48,18 @@ def with_urls(df: DataFrame, links: DataFrame, video: str = "source_video") -> D
     return df.join(known, X.stem(X.without_meeting_prefix(video)) == F.col("__meet"), "left").drop("__meet").withColumn("video_url", F.coalesce("video_url", F.lit("")))
 
 
+def tab_meetings(tabs: DataFrame, links: DataFrame) -> DataFrame:
+    """``tabs`` (url, ...) with the meeting whose link shows the same video, the first by name; null without one."""
+    known = links.select(X.youtube_id("link").alias("__video"), "meet").where("__video is not null").groupBy("__video").agg(F.min("meet").alias("meeting"))
+    return tabs.join(known, X.youtube_id("url") == F.col("__video"), "left").drop("__video")
+
+
+def without_evidence(queries: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(query_id, is_fallback): whether a question has neither chunks nor entities to start from."""
+    any_ = chunks.select("query_id").unionByName(seeds.select("query_id")).distinct().withColumn("__has", F.lit(True))
+    return queries.select("query_id").join(any_, "query_id", "left").select("query_id", F.col("__has").isNull().alias("is_fallback"))
+
+
 def response(queries: DataFrame, answers: DataFrame, citations: DataFrame) -> DataFrame:
     """(query_id, body): the JSON a client is sent."""
     cited = citations.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "chunk_type", "title", "source_refs"))).alias("citations"))

@@ -115,13 +115,50 @@ def case_errors(cases: DataFrame) -> DataFrame:
     return own.unionByName(repeated)
 
 
+def testset_units(units: DataFrame, video: str | None = None, longer: int = 100) -> DataFrame:
+    """Text units long enough to ask about, of one video if named."""
+    rows = units.where(F.length("raw_text") > longer)
+    return rows.where(F.contains("source_video", F.lit(video))) if video else rows
+
+
 def testset_sample(units: DataFrame, n: int, seed: int = 0, video: str | None = None, longer: int = 100) -> DataFrame:
     """``n`` text units to ask about: of more than ``longer`` characters, of one video if named, least hash first."""
-    rows = units.where(F.length("raw_text") > longer)
-    rows = rows.where(F.contains("source_video", F.lit(video))) if video else rows
-    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return testset_units(units, video, longer).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
 
 
 def summary_table(long: DataFrame) -> DataFrame:
     """A row a case and a column a metric, in order of name."""
     return long.groupBy("case_id").pivot("metric", sorted(METRICS)).agg(F.round(F.first("score"), 4))
+
+
+def samples(cases: DataFrame) -> DataFrame:
+    """(case_id, user_input, response, retrieved_contexts, reference): what an outer evaluation reads; cases that failed
+    are left out, an empty reference is null."""
+    good = cases.where("error is null")
+    contexts = F.coalesce("contexts", F.array().cast("array<string>"))
+    reference = F.when(F.coalesce("expected_answer", F.lit("")) != "", F.col("expected_answer"))
+    return good.select("case_id", F.col("query").alias("user_input"), F.col("answer").alias("response"), contexts.alias("retrieved_contexts"), reference.alias("reference"))
+
+
+def report_json(long: DataFrame, by_case: DataFrame, run_id: str, metadata: str = "{}") -> DataFrame:
+    """(run_id, body): the report as JSON, with its summary and means to four places. Cases are rows of their own, as
+    :func:`case_json` gives them."""
+    place = lambda c: F.round(c, 4)
+    means = metric_summary(long).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", place("average"))))).alias("metric_averages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", place("pass_rate"))))).alias("metric_pass_rates"))
+    kinds = by_group(by_case, "query_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_type", F.struct("cases", place("average").alias("average")))))).alias("by_query_type"))
+    total = report(by_case).select(F.col("total").alias("total_cases"), F.col("succeeded").alias("successful_cases"), F.col("failed").alias("failed_cases"), place("overall").alias("overall_average"))
+    one = total.join(F.broadcast(means)).join(F.broadcast(kinds))  # one row each
+    body = F.struct(F.lit(run_id).alias("run_id"), F.from_json(F.lit(metadata), "map<string,string>").alias("testset_metadata"), F.struct(*one.columns).alias("summary"))
+    return one.select(F.lit(run_id).alias("run_id"), F.to_json(body).alias("body"))
+
+
+def case_json(cases: DataFrame, long: DataFrame, answer_chars: int = 500) -> DataFrame:
+    """(case_id, body): a case as JSON with its scores to four places. The answer is cut to what a report shows."""
+    scores_ = long.where("error is null").groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("score", 4))))).alias("metric_scores"))
+    rows = cases.select("case_id", "query", "query_type", "is_fallback", "error", F.substring("answer", 1, answer_chars).alias("answer")).join(scores_, "case_id", "left")
+    return rows.select("case_id", F.to_json(F.struct(*rows.columns)).alias("body"))
+
+
+def judged_means(replies: DataFrame, *by: str) -> DataFrame:
+    """(by, score): the mean of a judge's replies of yes, partly or no."""
+    return replies.groupBy(*by).agg(F.avg(X.judged_yes_no("reply")).alias("score"))

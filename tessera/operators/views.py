@@ -91,3 +91,33 @@ def column_profile(df: DataFrame, column: str, approximate: bool = False) -> Dat
 
 def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("value is not null").orderBy(F.desc("n"), "value").limit(k)
+
+
+def categorical_profile(df: DataFrame, column: str, most: int = 20, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent values (value, n) of a column of at most ``most`` different ones, none of any other."""
+    different = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1)
+    few = different.agg(F.count("*").alias("n")).where(F.col("n") <= most)  # one row, or none
+    return value_counts(df, column, k).join(F.broadcast(few), how="left_semi")
+
+
+def missing_meetings(wanted: DataFrame, available: DataFrame) -> DataFrame:
+    """Meetings asked for that there are none of, once each."""
+    return wanted.select("meeting").distinct().join(available.select("meeting"), "meeting", "left_anti")
+
+
+def numeric_means(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, average): the mean of every numeric column to four places."""
+    numbers = [c for c, t in df.dtypes if c not in skip and t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    each = F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.avg(F.col(f"`{c}`")), 4).alias("average")) for c in numbers))
+    return df.agg(each.alias("all")).select(F.inline("all"))
+
+
+def image_matches(records: DataFrame) -> DataFrame:
+    """(with_image): how many records have an image."""
+    return records.agg(F.count_if(F.coalesce("slide_image", F.lit("")) != "").alias("with_image"))
+
+
+def token_usage(calls: DataFrame, *by: str) -> DataFrame:
+    """(by, tokens): what prompts and completions took together; a count that is missing is none."""
+    used = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    return calls.groupBy(*by).agg(F.sum(used).alias("tokens"))

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: lineage is cut and lost executors lose nothing. Our own folder where none is set and
-    all runs in one process; on a cluster it has to be set, as a folder of this machine would not do."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Our own folder where none is set and all runs in one process; on a cluster it has
+    to be set, as a folder of this machine would not do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back: lineage is cut and lost executors lose nothing."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 

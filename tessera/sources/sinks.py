@@ -60,3 +60,33 @@ def save_cases(rows: DataFrame, folder: str) -> None:
 
 def save_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def save_record_lists(records: DataFrame, folder: str, name: str, per_file: int = 1000) -> None:
+    """Records as files that each hold a JSON list of about ``per_file``, dealt by hash, so no video gathers in one."""
+    files = -(-max(1, records.count()) // per_file)
+    row = F.struct(*[c for c in records.columns if c != "ord"])
+    dealt = records.groupBy(F.pmod(F.xxhash64("id", "video_name"), F.lit(files)).alias("__file")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    dealt.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/{name}.json")
+
+
+def save_source_map(texts_: DataFrame, folder: str, per_file: int = 1000) -> None:
+    """The map from file to source as JSON objects of about ``per_file`` entries, one a file of
+    ``folder``. Files are named once, as :func:`texts` gives them."""
+    files = -(-max(1, texts_.count()) // per_file)
+    entry = F.struct("source_file", F.struct("source_video", "start_time", "end_time", "id", "slide_image"))
+    dealt = texts_.groupBy(F.pmod(F.xxhash64("source_file"), F.lit(files)).alias("__file"))
+    whole = dealt.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """(read, written, skipped): what :func:`texts` takes of the records and what it leaves."""
+    usable = (F.coalesce("id", F.lit("")) != "") & (F.coalesce("video_name", F.lit("")) != "")
+    return records.agg(F.count("*").alias("read"), F.count_if(usable).alias("written"), F.count_if(~usable).alias("skipped"))
+
+
+def summary_lines(summary: DataFrame) -> list[str]:
+    """A summary of one row, or of few, as lines for a console."""
+    rows = summary.limit(100).collect()
+    return ["  ".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in row.asDict().items()) for row in rows]
