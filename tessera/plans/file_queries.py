@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.plans.catalog import query
 from tessera.plans.fixtures import RECORDS
-from tessera.plans.view_queries import _links
+from tessera.plans.view_queries import _links, _stripped
 from tessera.sources import readers, scratch, sinks
 
 
@@ -19,15 +20,15 @@ def json_records(t):
     return readers.records(t.spark, folder).select("id", "video_name", "start_time", "end_time", F.md5("transcript").alias("transcript"))
 
 
-@query("SELECT 'v.mp4' AS source_video, CAST(item_id AS DOUBLE) AS start_time, item_id + 0.5::DOUBLE AS end_time, md5(text) AS body FROM benchmark")
+@query("SELECT 'v.mp4' AS source_video, CAST(item_id AS DOUBLE) AS start_time, item_id + 0.5::DOUBLE AS end_time, md5(" + _stripped("text") + ") AS body FROM benchmark")
 def text_files(t):
     """Benchmark passages as text files, a file each; their source is read from the header."""
     folder = scratch.folder(t.spark, "texts")
     rows = t["benchmark"].select(F.col("item_id").cast("string").alias("id"), F.lit("v.mp4").alias("video_name"), F.col("item_id").cast("double").alias("start_time"), (F.col("item_id") + 0.5).alias("end_time"), F.col("text").alias("ocr_text"), F.lit("").alias("chart_description"), F.lit("").alias("transcript"), F.lit("").alias("slide_image"), F.col("item_id").alias("ord"))
-    sinks.texts(rows).select("body").write.option("maxRecordsPerFile", 1).option("lineSep", "").text(folder)
+    sinks.texts(rows).select("body").write.option("maxRecordsPerFile", 1).text(folder)
     none = t.spark.createDataFrame([], "source_file string, " + readers.SOURCE_MAP)
     read = readers.with_sources(readers.texts(t.spark, folder), none)
-    return read.select("source_video", "start_time", "end_time", F.md5(F.regexp_replace("body", r"^[^\n]*\n\n", "")).alias("body"))
+    return read.select("source_video", "start_time", "end_time", F.md5(X.without_headers("body")).alias("body"))
 
 
 @query(f"""WITH {RECORDS} SELECT id, CASE WHEN ord % 2 = 0 THEN 'later' ELSE video_name END AS source_video, start_time, end_time FROM records""")

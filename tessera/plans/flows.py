@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import backends
 from tessera.functions import text as X
+from tessera.functions.prompts import prompt
 from tessera.operators import answer, chunk, communities, evaluate, extract, graph, organize, resolve, search, vectors
 from tessera.sources import readers, sinks
 from tessera.sources.readers import Settings
@@ -23,12 +25,13 @@ class Index:
     communities: DataFrame
     unit_vectors: DataFrame
     community_vectors: DataFrame
+    entity_vectors: DataFrame
 
 
-def build_index(records: DataFrame, options: Settings | None = None, method: str = "louvain") -> Index:
+def build_index(records: DataFrame, options: Settings | None = None, method: str = "louvain", report: backends.Complete | None = None) -> Index:
     """Records (with ``ord``) to text units, entities, relationships, communities and vectors. Every stage is written.
     Communities are Louvain's, or those of label propagation in components too large for a task; ``method`` may name
-    "components" or "labels" for all."""
+    "components" or "labels" for all. ``report`` is a model that names and sums up communities."""
     ship(records.sparkSession)
     o = options or Settings()
     units = chunk.text_units(sinks.texts(records).select("source_file", "body", "source_video", "start_time", "end_time", "slide_image"), o.chunk_size, o.overlap)
@@ -40,8 +43,58 @@ def build_index(records: DataFrame, options: Settings | None = None, method: str
     nodes = entities.select(F.col("key").alias("node"))
     found = {"components": graph.components, "labels": graph.label_propagation, "louvain": lambda n, e: graph.louvain_or_labels(n, e, o.resolution)}[method](nodes, edges)
     groups = communities.assemble(found.toDF("node", "community"), entities)
-    groups = saved(communities.reports(groups), "communities")
-    return Index(units, entities, relationships, groups, saved(vectors.vector_table(units, "text_units"), "vectors"), saved(vectors.vector_table(groups, "communities"), "vectors"))
+    groups = saved(reported(groups, report), "communities")
+    tables = [saved(vectors.vector_table(rows, kind), "vectors") for rows, kind in ((units, "text_units"), (groups, "communities"), (entities, "entities"))]
+    return Index(units, entities, relationships, groups, *tables)
+
+
+def similar_entities(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, score, rank, name, type): the entities nearest to each question (query_id, query) by vector."""
+    asked = questions.withColumn("vector", vectors.hashed_embedding(F.col("query")))
+    found = vectors.top_k_batched(index.entity_vectors, asked, k, "id", "query_id", "vector")
+    return found.join(index.entities.select("id", "name", "type"), "id")
+
+
+def neighbours_of(index: Index, questions: DataFrame, hops: int = 1, most: int = 10) -> dict[str, DataFrame]:
+    """Entities that each question (query_id, name: one row a name asked for) starts from, their best neighbours in the
+    graph, and the relationships among both."""
+    seeds = saved(search.match_seeds(questions, index.entities), "seeds")
+    near = saved(search.neighbours(seeds, graph.adjacency(index.relationships), hops, most), "near")
+    return {"seeds": seeds, "neighbours": near, "relationships": search.seed_relationships(seeds, near, index.relationships)}
+
+
+def classified(questions: DataFrame, complete: backends.Complete | None = None) -> DataFrame:
+    """``questions`` with query_type, by a model where there is one; where it fails or says something else, by rule."""
+    if complete is None:
+        return questions.withColumn("query_type", X.classify_query("query"))
+    told = backends.replies(questions, prompt("classify", query=F.col("query")), complete)
+    said = F.lower(X.strip_ws("reply"))
+    by_rule = X.classify_query("query")
+    return told.withColumn("query_type", F.when(said.isin("local", "global"), said).otherwise(by_rule)).drop("reply", "reply_error")
+
+
+def reported(groups: DataFrame, complete: backends.Complete | None = None) -> DataFrame:
+    """Communities with title and summary, by a model where there is one; by template where it fails or isn't read."""
+    plain = communities.reports(groups)
+    if complete is None:
+        return plain
+    told = backends.replies(plain, prompt("report", members=F.col("report_input")), complete, back_off=1.0)
+    read = X.repaired_json("reply", "title string, summary string")
+    own = lambda c: F.coalesce(X.blank_to_null(read[c]), F.col(c))
+    return told.withColumns({"title": own("title"), "summary": own("summary")}).drop("reply", "reply_error")
+
+
+def answered(questions: DataFrame, chunks: DataFrame, prompts: DataFrame, complete: backends.Complete | None = None) -> DataFrame:
+    """(query_id, answer, is_fallback): from a model that reads each question's prompt, or extracted where there is none. A
+    question without evidence gets the fallback text and isn't asked; a model that fails ends the job."""
+    plain = answer.extractive_answers(questions, chunks)
+    if complete is None:
+        return plain
+    asked = prompts.join(questions.select("query_id", "query"), "query_id")
+    told = backends.replies(asked.select("query_id", "query", "prompt"), prompt("answer", context=F.col("prompt"), query=F.col("query")), complete)
+    failed = F.when(F.col("reply_error").isNotNull(), F.raise_error(F.concat(F.lit("no answer: "), F.col("reply_error"))).cast("string"))
+    said = told.select("query_id", F.coalesce(failed, X.normal_citations("reply")).alias("said"))
+    return plain.join(said, "query_id", "left").select("query_id", F.when(F.col("is_fallback"), F.col("answer")).otherwise(F.col("said")).alias("answer"), "is_fallback")
 
 
 def save_index(index: Index, folder: str) -> None:
@@ -56,11 +109,13 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     return Index(**tables)
 
 
-def ask(index: Index, questions: DataFrame, options: Settings | None = None, meetings: list[str] = ()) -> dict[str, DataFrame]:
-    """Answers of a batch of ``questions`` (query_id, query): classified, searched, organised, answered and cited."""
+def ask(index: Index, questions: DataFrame, options: Settings | None = None, meetings: list[str] = (), classify: backends.Complete | None = None, complete: backends.Complete | None = None) -> dict[str, DataFrame]:
+    """Answers of a batch of ``questions`` (query_id, query): classified, searched, organised, answered and cited. Models
+    that classify and answer are plugged in; without them both are by rule."""
     ship(questions.sparkSession)
     o = options or Settings()
-    rows = questions.withColumn("query_type", X.classify_query("query")).withColumn("vector", vectors.hashed_embedding(F.col("query")))
+    rows = classified(questions, classify)
+    rows = (rows if classify is None else saved(rows, "classified")).withColumn("vector", vectors.hashed_embedding(F.col("query")))
     k = 2 * o.top_k if meetings else o.top_k
     local, wide = rows.where("query_type = 'local'"), rows.where("query_type = 'global'")
     found = vectors.top_k_batched(index.unit_vectors, local, k, "id", "query_id", "vector")
@@ -75,10 +130,10 @@ def ask(index: Index, questions: DataFrame, options: Settings | None = None, mee
     groups = search.any_in_meetings(groups, list(meetings))
     chunks = organize.unit_chunks(hits).unionByName(organize.community_chunks(groups))
     chunks = saved(organize.organize(chunks, o.cutoff, o.dedup, o.max_chunks), "chunks")
-    answers = saved(answer.extractive_answers(rows, chunks), "answers")
+    prompts = organize.prompt_text(chunks, organize.consolidated_entities(chunks))
+    answers = saved(answered(rows, chunks, prompts, complete), "answers")
     cited = answer.resolved_citations(answers, chunks)
-    keys = organize.consolidated_entities(chunks)
-    return {"chunks": chunks, "answers": answers, "citations": cited, "responses": answer.response(rows, answers, cited), "prompts": organize.prompt_text(chunks, keys), "references": organize.consolidated_refs(chunks)}
+    return {"chunks": chunks, "answers": answers, "citations": cited, "responses": answer.response(rows, answers, cited), "prompts": prompts, "references": organize.consolidated_refs(chunks)}
 
 
 def score_answers(cases: DataFrame) -> dict[str, DataFrame]:

@@ -120,7 +120,7 @@ def index_table(spark: SparkSession, folder: str, name: str, schema: str) -> Dat
 
 
 #: Tables of an index that a build saves, and one row of counts beside them.
-INDEX_TABLES = ["units", "entities", "relationships", "communities", "unit_vectors", "community_vectors", "meta"]
+INDEX_TABLES = ["units", "entities", "relationships", "communities", "unit_vectors", "community_vectors", "entity_vectors", "meta"]
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -158,25 +158,53 @@ class Settings:
     hops: int = 1
     max_neighbours: int = 10
     resolution: float = 1.0
+    temperature: float = 0.0
+    max_tokens: int = 4096
     more: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        limits = {"top_k": (1, 20), "max_chunks": (1, 10), "dedup": (0, 1)}
+        limits = {"top_k": (1, 20), "max_chunks": (1, 10), "dedup": (0, 1), "temperature": (0, 2), "max_tokens": (64, 16384)}
         for name, (low, high) in limits.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be from {low} to {high}")
 
 
 def settings(*paths: str) -> Settings:
+    """Options of the first file there is, defaults without one."""
+    found = _first_file(*paths)
+    known = {k: v for k, v in found.items() if k in Settings.__dataclass_fields__}
+    return Settings(**known, more={k: v for k, v in found.items() if k not in known})
+
+
+#: Sections of a settings file with what holds where a file says nothing.
+SECTIONS = {
+    "llm": {"provider": "ollama", "model": "mistral"}, "embeddings": {"model": "nomic-embed-text"}, "chunking": {"size": 600, "overlap": 100}, "community": {"resolution": 1.0},
+}
+
+
+def sections(*paths: str, defaults: dict | None = None) -> dict:
+    """Settings by section: those of the first file there is over the defaults. A section is merged key by key, one level
+    deep; any other value takes the default's place."""
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in (SECTIONS if defaults is None else defaults).items()}
+    for key, value in _first_file(*paths).items():
+        out[key] = out[key] | value if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
+def _first_file(*paths: str) -> dict:
     for path in map(Path, paths):
         if path.exists():
             text = path.read_text()
             if path.suffix in (".yaml", ".yml"):
                 import yaml
 
-                found = yaml.safe_load(text) or {}
-            else:
-                found = json.loads(text)
-            known = {k: v for k, v in found.items() if k in Settings.__dataclass_fields__}
-            return Settings(**known, more={k: v for k, v in found.items() if k not in known})
-    return Settings()
+                return yaml.safe_load(text) or {}
+            return json.loads(text)
+    return {}
+
+
+def checked_query(text: str) -> str:
+    """A question of 1 to 1,000 characters, as a request may bring it."""
+    if not 1 <= len(text) <= 1000:
+        raise ValueError("a query has 1 to 1,000 characters")
+    return text
