@@ -35,9 +35,11 @@ def expand(adjacent: DataFrame, seeds: DataFrame, hops: int = 1, by: tuple[str,
     seen = seeds.select(*by, "node").distinct().withColumn("score", F.lit(1.0))
     frontier = seen
     for hop in range(hops):
-        frontier = once(frontier, "frontier") if hop else frontier
         step = frontier.join(share, frontier.node == share.at).select(*by, F.col("neighbour").alias("node"), (F.col("score") * F.col("share") * 0.5**hop).alias("score"))
-        frontier = step.join(seen.select(*by, "node"), [*by, "node"], "left_anti").groupBy(*by, "node").agg(F.max("score").alias("score")).where("score > 0")
+        # the best of each node first: that is summed map-side, and leaves the anti join a row a node, placed by its keys
+        best = step.groupBy(*by, "node").agg(F.max("score").alias("score")).where("score > 0")
+        frontier = best.join(seen.select(*by, "node"), [*by, "node"], "left_anti")
+        frontier = saved(frontier, "frontier") if hop + 1 < hops else frontier
         seen = seen.unionByName(frontier)
     return seen
 

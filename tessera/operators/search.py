@@ -47,8 +47,7 @@ def global_search(hits: DataFrame, communities: DataFrame, adjacent: DataFrame,
     reaches from their members, ranked by the blended score; graph scores are taken to nine decimals, so that the order in
     which they were summed up settles nothing. ``via_graph`` marks a vector score of exactly 0."""
     pool = hits.select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("v"))
-    seeds = pool.join(communities, "id").select("query_id", F.explode("entity_names").alias("key")).select("query_id", F.substring_index("key", "|", 1).alias("node")).where("node <> ''")
-    g = community_graph_scores(communities, expand(adjacent, seeds, hops, by=("query_id",)))
+    g = community_graph_scores(communities, _relevance(pool, communities, adjacent, hops))
     both = pool.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.round(F.coalesce("g", F.lit(0.0)), 9).alias("g"), F.col("v").isNotNull().alias("hit"))
     kept = both.where(F.col("hit") | (F.col("g") >= DISCOVER))
     ranked = kept.withColumn("score", F.round((1 - graph_weight) * F.col("v") + graph_weight * F.col("g"), 6)).withColumn("via_graph", F.col("v") == 0.0)
@@ -56,6 +55,18 @@ def global_search(hits: DataFrame, communities: DataFrame, adjacent: DataFrame,
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "v", "g", "score", "via_graph", "rank")
 
 
+def _relevance(pool: DataFrame, communities: DataFrame, adjacent: DataFrame, hops: int) -> DataFrame:
+    """(query_id, node, score) of what the graph reaches from the members of each question's communities. The first hop is
+    made once a community, whatever the questions: the best over a union is the best of each part's best."""
+    members = communities.join(pool.select("id").distinct(), "id", "left_semi").select("id", F.explode("entity_names").alias("key"))
+    seeds = members.select("id", F.substring_index("key", "|", 1).alias("node")).where("node <> ''")
+    asked = pool.select("query_id", "id").distinct()
+    if hops > 1:
+        return expand(adjacent, asked.join(seeds, "id"), hops, by=("query_id",))
+    near = expand(adjacent, seeds, hops, by=("id",))
+    return asked.join(near, "id").groupBy("query_id", "node").agg(F.max("score").alias("score"))
+
+
 def match_seeds(asked: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, asked, node): entities by exact lower-case name; for a name without one, the first entity in table order
     where either name holds the other. Where one holds the other it holds its first three characters, so the two meet by
