@@ -463,10 +463,17 @@ def jaccard_pairs(t):
     return docs.withColumn("o", nxt).where("o is not null").select("doc_id", F.col("o.doc_id").alias("other"), F.round(X.jaccard("w", "o.w"), 6).alias("likeness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TOP}, c AS (SELECT b.query_id, CAST(b.vec_id AS VARCHAR) AS chunk_id, r.score, {_WORDS.format('b.text')} AS w, row_number() OVER (PARTITION BY b.query_id ORDER BY r.score DESC, CAST(b.vec_id AS VARCHAR)) AS rank
+ FROM best b JOIN ranked r ON r.query_id = b.query_id AND r.vec_id = b.vec_id),
+alike AS (SELECT a.query_id, a.rank, list(b.rank) AS before FROM c a JOIN c b ON b.query_id = a.query_id AND b.rank < a.rank WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5 GROUP BY 1, 2),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept FROM c
+ UNION ALL SELECT walk.query_id, c.rank, CASE WHEN len(list_intersect(coalesce(alike.before, []), kept)) > 0 THEN kept ELSE list_append(kept, c.rank) END FROM walk JOIN c ON c.query_id = walk.query_id AND c.rank = walk.rank + 1 LEFT JOIN alike ON alike.query_id = c.query_id AND alike.rank = c.rank),
+last AS (SELECT query_id, arg_max(kept, rank) AS kept FROM walk GROUP BY query_id)
+SELECT c.query_id, chunk_id, score, row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank) AS place FROM c JOIN last ON last.query_id = c.query_id WHERE list_contains(kept, c.rank)""")
 def greedy_dedup(t):
-    """Evidence of each question without near-copies of better chunks; a fold over ranks, tested on its own."""
-    return organize.organize(_chunks(t).drop("place"), -1.0, 0.5, 5).select("query_id", "chunk_id", "score", F.col("place").cast("long").alias("place"))
+    """Evidence of each question without near-copies of better chunks, by a fold over ranks."""
+    found = organize.organize(_chunks(t).drop("place"), -1.0, 0.5, 5)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query()
