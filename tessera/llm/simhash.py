@@ -18,6 +18,8 @@ BLOCK = 1 << 20
 #: Fingerprints that a shard is home to, about; the number of leading bits that name a shard follows from it.
 SHARD = 1024
 MOST_SHARD_BITS = 24
+#: Fingerprints of a shard whose variants are made at once.
+FULL = 1 << 16
 
 
 def blocks(raw: bytes) -> Iterator[list[bytes]]:
@@ -146,6 +148,17 @@ def shard_pairs(fps: np.ndarray, shard: int, bits: int) -> np.ndarray:
     return pairs[(apart > 0) & (apart <= RADIUS)]
 
 
+def shard_links(fps: np.ndarray, shard: int, bits: int):
+    """:func:`shard_pairs` of a shard in parts: one of more than FULL fingerprints, as where many texts are alike, is
+    halved by its next leading bit until its parts fit, so that memory goes with FULL and not with the fullest shard."""
+    if len(fps) <= FULL or bits >= BITS // 2:
+        yield shard_pairs(fps, shard, bits)
+        return
+    top = fps >> np.uint64(BITS - bits - 1)
+    for half in (2 * shard, 2 * shard + 1):
+        yield from shard_links(fps[np.bitwise_count(top ^ np.uint64(half)) <= 2], half, bits + 1)
+
+
 def _slot(z: np.ndarray) -> np.ndarray:
     return ((z * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
@@ -171,8 +184,9 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
         shard = None
 
         def flush():
-            pairs = shard_pairs(np.unique(np.concatenate(held)), shard, bits) if held else []
-            if len(pairs):
+            for pairs in shard_links(np.unique(np.concatenate(held)), shard, bits) if held else ():
+                if not len(pairs):
+                    continue
                 edges = np.array(local_forest(pairs.view(np.int64).tolist()), dtype=np.int64)
                 yield arrow_batch([("a", pa.int64()), ("b", pa.int64())], [pa.array(edges[:, 0]), pa.array(edges[:, 1])])
 

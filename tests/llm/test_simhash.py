@@ -52,6 +52,17 @@ def test_shards_find_every_component(bits):
     assert dict(local_forest(true)) == dict(local_forest([tuple(p) for p in found]))
 
 
+def test_full_shards_are_halved(monkeypatch):
+    monkeypatch.setattr(simhash, "FULL", 8)
+    rng = random.Random(3)
+    lead = rng.getrandbits(64)
+    fps = sorted({(lead & ~((1 << 30) - 1)) | x & ((1 << 30) - 1) for x in close_fingerprints(rng)} | set(close_fingerprints(rng, 10)))
+    found = [pairs.tolist() for pairs in simhash.shard_links(np.array(fps, dtype=np.uint64), 0, 0)]
+    assert len(found) > 1
+    true = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= RADIUS]
+    assert dict(local_forest(true)) == dict(local_forest([tuple(p) for part in found for p in part]))
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (None, 3)]
