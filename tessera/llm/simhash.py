@@ -122,6 +122,8 @@ def shard_pairs(fps: np.ndarray, shard: int, bits: int) -> np.ndarray:
             continue
         own = fps[of & odd]
         far.append((own, fixed, 2 - k, int(where[0] >= BITS // 2) if k == 1 else None))
+    if not near:  # all are two bits away, and no two of them meet here within the radius
+        return np.empty((0, 2), dtype=np.uint64)
     z = np.concatenate([v.ravel() for _, v in near])
     who = np.concatenate([np.repeat(f, v.shape[1]) for f, v in near])
     order = np.lexsort((who, z))

@@ -63,6 +63,11 @@ def test_full_shards_are_halved(monkeypatch):
     assert dict(local_forest(true)) == dict(local_forest([tuple(p) for part in found for p in part]))
 
 
+def test_a_shard_of_far_fingerprints_links_nothing():
+    far = np.array([0b11 << 60 | x for x in (1, 2, 4)], dtype=np.uint64)  # two of the four leading bits away from shard 0
+    assert len(simhash.shard_pairs(far, 0, 4)) == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (None, 3)]
