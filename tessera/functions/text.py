@@ -47,7 +47,9 @@ def md5_id(c, n: int) -> Column:
 def canonical_name(c) -> Column:
     """Lower case, hyphens and underscores as spaces, other punctuation but ``/`` and ``.`` gone, single spaces."""
     out = F.regexp_replace(strip_ws(F.lower(col(c))), "[-_]", " ")
-    return strip_ws(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s/.]", ""), r"(?U)\s+", " "))
+    out = strip_ws(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s/.]", ""), r"(?U)\s+", " "))
+    # most names are one plain word, in which there is nothing to replace
+    return F.when(F.rlike(col(c), F.lit("^[A-Za-z0-9]+\\z")), F.lower(col(c))).otherwise(out)
 
 
 def entity_type(c) -> Column:

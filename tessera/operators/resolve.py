@@ -28,34 +28,101 @@ def folded(descriptions: Column) -> Column:
     return F.aggregate(descriptions, F.lit(""), add)
 
 
+def _named_entities(found: DataFrame) -> DataFrame:
+    return found.withColumns({"canonical": X.canonical_name("name"), "kind": X.entity_type("type")}).where("canonical <> ''")
+
+
+def _named_relationships(found: DataFrame) -> DataFrame:
+    return found.withColumns({"cs": X.canonical_name("source"), "ct": X.canonical_name("target"), "kind": X.relation_type("rel_type")})
+
+
+#: An entity's and a relationship's key.
+ENTITY_KEY, RELATIONSHIP_KEY = ("canonical", "kind"), ("cs", "kind", "ct")
+
+
+def _key(columns: tuple[str, ...]) -> Column:
+    return F.concat_ws("|", *columns).alias("key")
+
+
+def _mentions(rows: DataFrame) -> DataFrame:
+    return rows.where("text_unit_id is not null").select("key", "text_unit_id").distinct().withColumn("id", X.md5_id(F.col("key"), 12))
+
+
+def _descriptions(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(key, descriptions): the different descriptions that are not empty, in order. Each is reduced to its first place
+    before, so a group gathers descriptions and not mentions."""
+    firsts = rows.where("description <> ''").groupBy(_key(columns), F.col("description").alias("d")).agg(F.min("ord").alias("o"))
+    return firsts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x.d).alias("descriptions"))
+
+
+def entity_mentions(found: DataFrame) -> DataFrame:
+    """(key, id, text_unit_id): which text units name an entity, a row each, so that no name gathers all of its units."""
+    return _mentions(_named_entities(found).select(_key(ENTITY_KEY), "text_unit_id"))
+
+
+def relationship_mentions(found: DataFrame) -> DataFrame:
+    """(key, id, text_unit_id): which text units hold a relationship, a row each; also of those between unknown ends."""
+    return _mentions(_named_relationships(found).select(_key(RELATIONSHIP_KEY), "text_unit_id"))
+
+
+def unit_counts(mentions: DataFrame) -> DataFrame:
+    """(key, units): number of text units."""
+    return mentions.groupBy("key").agg(F.count("*").alias("units"))
+
+
+def with_unit_ids(rows: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``rows`` (key) with text_unit_ids, sorted: for tables whose hottest name's units fit in a row."""
+    lists = mentions.groupBy("key").agg(F.array_sort(F.collect_list("text_unit_id")).alias("text_unit_ids"))
+    return rows.join(lists, "key", "left").withColumn("text_unit_ids", F.coalesce("text_unit_ids", F.array().cast("array<string>")))
+
+
+def mention_rows(entities: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """``mentions``, or what the lists of ``entities`` say where there are none."""
+    return entities.select("key", "id", F.explode("text_unit_ids").alias("text_unit_id")) if mentions is None else mentions
+
+
+def entity_rows(found: DataFrame) -> DataFrame:
+    """``found`` (name, type, description, text_unit_id, ord) by canonical name and type: first spelling, descriptions
+    folded in order. The text units are in :func:`entity_mentions`."""
+    rows = _named_entities(found)
+    merged = rows.groupBy(*ENTITY_KEY).agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
+    merged = merged.withColumn("key", _key(ENTITY_KEY)).join(_descriptions(rows, ENTITY_KEY), "key", "left")
+    description = F.coalesce(folded(F.col("descriptions")), F.lit("")).alias("description")
+    return merged.select(X.md5_id(F.col("key"), 12).alias("id"), "name", F.col("kind").alias("type"), description, "canonical", "key", "ord")
+
+
 def merge_entities(found: DataFrame) -> DataFrame:
-    """``found`` (name, type, description, text_unit_id, ord) by canonical name and type: first spelling, all text units,
-    descriptions folded in order."""
-    rows = found.where(X.canonical_name("name") != "").select("*", X.canonical_name("name").alias("canonical"), X.entity_type("type").alias("kind"))
-    # one row for each different description, so that what a group gathers is its descriptions and not its mentions
-    texts = rows.groupBy("canonical", "kind", F.coalesce("description", F.lit("")).alias("d")).agg(F.min("ord").alias("o"), F.min_by("name", "ord").alias("n"), F.collect_set("text_unit_id").alias("tu"))
-    merged = texts.groupBy("canonical", "kind").agg(F.min_by("n", "o").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tu")))).alias("text_unit_ids"), F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x.d).alias("ds"), F.min("o").alias("ord"))
-    return merged.select(X.md5_id(F.concat_ws("|", "canonical", "kind"), 12).alias("id"), "name", F.col("kind").alias("type"), folded(F.col("ds")).alias("description"), "text_unit_ids", "canonical", F.concat_ws("|", "canonical", "kind").alias("key"), "ord")
+    """:func:`entity_rows` with each entity's text units in a list."""
+    return with_unit_ids(entity_rows(found), entity_mentions(found))
 
 
-def merge_relationships(found: DataFrame, entities: DataFrame) -> DataFrame:
+def relationship_rows(found: DataFrame, entities: DataFrame) -> DataFrame:
     """``found`` (source, target, rel_type, description, weight, text_unit_id, ord) between known entities, by canonical
-    ends and type: weights summed, text units and different descriptions in order."""
-    rows = found.select("*", X.canonical_name("source").alias("cs"), X.canonical_name("target").alias("ct"), X.relation_type("rel_type").alias("kind"))
+    ends and type: weights summed, different descriptions in order. The text units are in :func:`relationship_mentions`."""
+    rows = _named_relationships(found)
+    # the ends are looked up after mentions are summed up, so that as few rows as possible are joined
+    merged = rows.groupBy(*RELATIONSHIP_KEY).agg(
+        F.min_by(F.struct("source", "target"), "ord").alias("ends"), F.sum("weight").alias("weight"), F.min("ord").alias("ord")
+    )
     names = entities.select("canonical").distinct()
     for end in ("cs", "ct"):
-        rows = rows.join(names.withColumnRenamed("canonical", end), end, "left_semi")
-    texts = rows.groupBy("cs", "kind", "ct", F.coalesce("description", F.lit("")).alias("d")).agg(F.min("ord").alias("o"), F.sum("weight").alias("w"), F.min_by(F.struct("source", "target"), "ord").alias("ends"), F.collect_set("text_unit_id").alias("tu"))
-    merged = texts.groupBy("cs", "kind", "ct").agg(F.min_by("ends", "o").alias("ends"), F.sum("w").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tu")))).alias("text_unit_ids"), F.filter(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x.d), lambda d: d != "").alias("descriptions"), F.min("o").alias("ord"))
+        merged = merged.join(names.withColumnRenamed("canonical", end), end, "left_semi")
+    merged = merged.withColumn("key", _key(RELATIONSHIP_KEY)).join(_descriptions(rows, RELATIONSHIP_KEY), "key", "left")
+    merged = merged.withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
     return merged.select(
-        X.md5_id(F.concat_ws("|", "cs", "kind", "ct"), 12).alias("id"), "ends.source", "ends.target", F.col("kind").alias("rel_type"), F.array_join("descriptions", "; ").alias("description"),
-        "weight", X.is_directional("kind").alias("is_directional"), "text_unit_ids", "descriptions", F.col("cs").alias("source_name"), F.col("ct").alias("target_name"), "ord",
+        X.md5_id(F.col("key"), 12).alias("id"), "ends.source", "ends.target", F.col("kind").alias("rel_type"), F.array_join("descriptions", "; ").alias("description"),
+        "weight", X.is_directional("kind").alias("is_directional"), "descriptions", F.col("cs").alias("source_name"), F.col("ct").alias("target_name"), "ord", "key",
     )
 
 
-def unit_entities(entities: DataFrame, units: DataFrame) -> DataFrame:
+def merge_relationships(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """:func:`relationship_rows` with each relationship's text units in a list."""
+    return with_unit_ids(relationship_rows(found, entities), relationship_mentions(found))
+
+
+def unit_entities(entities: DataFrame, units: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """``units`` with entity_ids, the sorted ids of the entities that name them; none is an empty list."""
-    named = entities.select("id", F.explode("text_unit_ids").alias("tu")).groupBy("tu").agg(F.array_sort(F.collect_set("id")).alias("entity_ids"))
+    named = mention_rows(entities, mentions).groupBy(F.col("text_unit_id").alias("tu")).agg(F.array_sort(F.collect_set("id")).alias("entity_ids"))
     return units.drop("entity_ids").join(named, units.id == named.tu, "left").drop("tu").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
 
 

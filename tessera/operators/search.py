@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text as X
+from tessera.operators.communities import member_rows
 from tessera.operators.graph import expand
+from tessera.operators.resolve import mention_rows
 
 #: Weight of the graph in a blended score, and what a community without a hit needs to be found by graph alone.
 GRAPH_WEIGHT, DISCOVER = 0.3, 0.05
 
 
-def related_entities(hits: DataFrame, entities: DataFrame, unit: str = "id") -> DataFrame:
+def related_entities(hits: DataFrame, entities: DataFrame, unit: str = "id", mentions: DataFrame | None = None) -> DataFrame:
     """``hits`` with related_entities, the entities that name the text unit, in table order."""
-    named = entities.select(F.explode("text_unit_ids").alias("tu"), "ord", F.struct("name", "type", "description").alias("e"))
-    lists = named.join(hits.select(F.col(unit).alias("tu")).distinct(), "tu", "left_semi").groupBy("tu").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x.e).alias("related_entities"))
+    wanted = hits.select(F.col(unit).alias("tu")).distinct()
+    named = mention_rows(entities, mentions).select("key", F.col("text_unit_id").alias("tu")).join(wanted, "tu", "left_semi")
+    named = named.join(entities.select("key", "ord", F.struct("name", "type", "description").alias("e")), "key")
+    lists = named.groupBy("tu").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x.e).alias("related_entities"))
     return hits.join(lists, hits[unit] == lists.tu, "left").drop("tu").withColumn("related_entities", F.coalesce("related_entities", F.array().cast(lists.schema["related_entities"].dataType)))
 
 
@@ -36,8 +40,9 @@ def any_in_meetings(df: DataFrame, meetings: list[str], refs: str = "source_refs
 def community_graph_scores(communities: DataFrame, relevance: DataFrame) -> DataFrame:
     """(query_id, id, g): mean relevance of a community's members, 0 for one not reached. Only communities that some
     member of is reached come out; the others' mean is 0."""
-    members = communities.select("id", F.explode("entity_names").alias("key")).select("id", F.substring_index("key", "|", 1).alias("node"))
-    sizes = communities.select("id", F.size("entity_names").alias("n"))
+    rows = member_rows(communities)
+    members = rows.select("id", F.substring_index("key", "|", 1).alias("node"))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
     reached = relevance.join(members, "node").groupBy("query_id", "id").agg(F.sum("score").alias("s"))
     return reached.join(sizes, "id").select("query_id", "id", (F.col("s") / F.col("n")).alias("g"))
 
@@ -58,7 +63,7 @@ def global_search(hits: DataFrame, communities: DataFrame, adjacent: DataFrame,
 def _relevance(pool: DataFrame, communities: DataFrame, adjacent: DataFrame, hops: int) -> DataFrame:
     """(query_id, node, score) of what the graph reaches from the members of each question's communities. The first hop is
     made once a community, whatever the questions: the best over a union is the best of each part's best."""
-    members = communities.join(pool.select("id").distinct(), "id", "left_semi").select("id", F.explode("entity_names").alias("key"))
+    members = member_rows(communities).join(pool.select("id").distinct(), "id", "left_semi")
     seeds = members.select("id", F.substring_index("key", "|", 1).alias("node")).where("node <> ''")
     asked = pool.select("query_id", "id").distinct()
     if hops > 1:

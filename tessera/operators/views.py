@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.communities import member_rows
 from tessera.operators.graph import both_ways, degrees
+from tessera.operators.resolve import mention_rows
 
 
-def graph_nodes(entities: DataFrame, units: DataFrame, communities: DataFrame) -> DataFrame:
+def graph_nodes(entities: DataFrame, units: DataFrame, communities: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """(id, type, description, community_id, meetings) for every entity; the community of lowest level, and first in it."""
-    places = entities.select("key", F.explode("text_unit_ids").alias("tu")).join(units.select(F.col("id").alias("tu"), X.stem("source_video").alias("m")), "tu")
+    places = mention_rows(entities, mentions).select("key", F.col("text_unit_id").alias("tu")).join(units.select(F.col("id").alias("tu"), X.stem("source_video").alias("m")), "tu")
     meetings = places.groupBy("key").agg(F.array_sort(F.collect_set("m")).alias("meetings"))
-    members = communities.select(F.col("id").alias("c"), "level", F.explode("entity_names").alias("k")).select("c", "level", F.substring_index("k", "|", 1).alias("name"))
+    members = member_rows(communities).select(F.col("id").alias("c"), "level", F.substring_index("key", "|", 1).alias("name"))
     first = members.groupBy("name").agg(F.min_by("c", F.struct("level", "c")).alias("community_id"))
     out = entities.join(meetings, "key", "left").join(first, F.lower(entities.name) == first.name, "left")
     return out.select(entities.name.alias("id"), "type", "description", F.coalesce("community_id", F.lit("")).alias("community_id"), F.coalesce("meetings", F.array().cast("array<string>")).alias("meetings"))

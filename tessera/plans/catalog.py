@@ -247,17 +247,19 @@ def source_headers(t):
 
 @query(f"WITH {ENTITIES} SELECT canonical, name, CAST(units AS BIGINT) AS units, substr(md5(canonical || '|CONCEPT'), 1, 12) AS id FROM entities")
 def merge_entities(t):
-    return t.entities().select("canonical", "name", F.size("text_unit_ids").cast("long").alias("units"), "id")
+    return t.entities().join(resolve.unit_counts(t.mentions()), "key").select("canonical", "name", "units", "id")
 
 
 @query(f"WITH {PAIRS} SELECT lower(source) AS source_name, lower(target) AS target_name, CAST(count(*) AS DOUBLE) AS weight, count(DISTINCT unit) AS units, substr(md5(lower(source) || '|RELATED_TO|' || lower(target)), 1, 12) AS id FROM pairs GROUP BY 1, 2")
 def merge_relationships(t):
-    return resolve.merge_relationships(t.relationships(), t.entities()).select("source_name", "target_name", "weight", F.size("text_unit_ids").cast("long").alias("units"), "id")
+    found = saved(t.relationships(), "found")
+    counts = resolve.unit_counts(resolve.relationship_mentions(found))
+    return resolve.relationship_rows(found, t.entities()).join(counts, "key").select("source_name", "target_name", "weight", "units", "id")
 
 
 @query(f"WITH {NAMES}, e AS (SELECT DISTINCT unit, substr(md5(lower(name) || '|CONCEPT'), 1, 12) AS id FROM names) SELECT u.id, md5(coalesce(string_agg(e.id, ',' ORDER BY e.id), '')) AS entities FROM (SELECT substr(md5('doc:' || CAST(doc_id AS VARCHAR)), 1, 16) AS id FROM documents) u LEFT JOIN e ON e.unit = u.id GROUP BY u.id")
 def unit_entities(t):
-    return resolve.unit_entities(t.entities(), t.units()).select(F.col("id"), F.md5(F.array_join("entity_ids", ",")).alias("entities"))
+    return resolve.unit_entities(t.entities(), t.units(), t.mentions()).select(F.col("id"), F.md5(F.array_join("entity_ids", ",")).alias("entities"))
 
 
 @query(f"WITH {PAIRS} SELECT least(source, target) AS source, greatest(source, target) AS target, sum(weight) AS weight FROM edges GROUP BY 1, 2")
@@ -317,16 +319,22 @@ def louvain_communities(t):
     return graph.louvain(nodes, edges).groupBy("community").agg(F.count("*").alias("members"))
 
 
+def _letters(found: DataFrame) -> DataFrame:
+    """Communities of names by first letter, with reports."""
+    belong = communities.members(found.select(F.col("key").alias("node"), F.substring("key", 1, 1).alias("community")), found)
+    return communities.reports(communities.described(belong, found))
+
+
 @query(f"WITH {ENTITIES} SELECT substr(canonical, 1, 1) AS letter, substr(md5(min(canonical || '|CONCEPT')), 1, 8) AS id, CAST(count(*) AS BIGINT) AS entity_count FROM entities GROUP BY 1")
 def community_members(t):
     found = t.entities()
-    out = communities.reports(communities.assemble(found.select(F.col("key").alias("node"), F.substring("key", 1, 1).alias("community")), found))
+    out = _letters(found)
     return out.select(F.substring(F.col("entity_names")[0], 1, 1).alias("letter"), "id", F.col("entity_count").cast("long").alias("entity_count"))
 
 
 @query(f"WITH {PAIRS} SELECT substr(source, 1, 1) AS community, source AS source_name, target AS target_name, weight FROM edges WHERE substr(source, 1, 1) = substr(target, 1, 1)")
 def community_internal_rels(t):
-    relationships = resolve.merge_relationships(t.relationships(), t.entities())
+    relationships = resolve.relationship_rows(t.relationships(), t.entities())
     return communities.inner_relationships(t.communities(), relationships).select("community", "source_name", "target_name", "weight")
 
 
@@ -385,7 +393,7 @@ def seed_relationships(t):
 
 @query(f"WITH {ENTITIES}, m AS (SELECT DISTINCT lower(n.name) AS canonical, coalesce(d.source, 'unknown') AS meeting FROM names n JOIN documents d USING (doc_id)) SELECT e.name AS id, substr(e.canonical, 1, 1) AS community_id, (SELECT string_agg(meeting, ',' ORDER BY meeting) FROM m WHERE m.canonical = e.canonical) AS meetings FROM entities e")
 def graph_view_nodes(t):
-    nodes = views.graph_nodes(t.entities(), t.units(), t.communities())
+    nodes = views.graph_nodes(t.entities(), t.units(), t.communities(), t.mentions())
     return nodes.select("id", "community_id", F.array_join("meetings", ",").alias("meetings"))
 
 
@@ -408,7 +416,7 @@ def keyword_search(t):
 @query(f"WITH {PAIRS}, u AS (SELECT count(*) AS n FROM documents) SELECT (SELECT n FROM u) AS text_units, (SELECT count(DISTINCT lower(name)) FROM names) AS entities, (SELECT count(*) FROM edges) AS relationships, (SELECT count(DISTINCT substr(lower(name), 1, 1)) FROM names) AS communities, 'CONCEPT' AS entity_types, 'RELATED_TO' AS rel_types")
 def index_meta(t):
     entities = t.entities()
-    meta = resolve.index_meta(t.units(), entities, resolve.merge_relationships(t.relationships(), entities), t.communities())
+    meta = resolve.index_meta(t.units(), entities, resolve.relationship_rows(t.relationships(), entities), t.communities().select("id").distinct())
     return meta.select("text_units", "entities", "relationships", "communities", F.array_join("entity_types", ",").alias("entity_types"), F.array_join("rel_types", ",").alias("rel_types"))
 
 

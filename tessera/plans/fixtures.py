@@ -43,12 +43,17 @@ class Tables:
             self._names = saved(found, "names")
         return self._names
 
+    def _found(self) -> DataFrame:
+        return self.names().select("name", F.lit("concept").alias("type"), F.lit("").alias("description"), F.col("unit").alias("text_unit_id"), F.struct("doc_id", "at").alias("ord"))
+
     def entities(self) -> DataFrame:
-        found = self.names().select("name", F.lit("concept").alias("type"), F.lit("").alias("description"), F.col("unit").alias("text_unit_id"), F.struct("doc_id", "at").alias("ord"))
         if self._entities is None:
-            self._entities = saved(resolve.merge_entities(found), "entities")
+            self._entities = saved(resolve.entity_rows(self._found()), "entities")
         return self._entities
 
+    def mentions(self) -> DataFrame:
+        return resolve.entity_mentions(self._found())
+
     def relationships(self) -> DataFrame:
         return extract.rule_relationships(self.units())
 
@@ -58,9 +63,8 @@ class Tables:
         return rows.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
     def communities(self) -> DataFrame:
-        """Names by first letter."""
-        keys = self.entities().select(F.substring("key", 1, 1).alias("id"), "key")
-        return keys.groupBy("id").agg(F.lit(0).alias("level"), F.array_sort(F.collect_set("key")).alias("entity_names"))
+        """Names by first letter, a row for each member."""
+        return self.entities().select(F.substring("key", 1, 1).alias("id"), F.lit(0).alias("level"), "key")
 
     def questions(self) -> DataFrame:
         return self["benchmark"].select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -19,10 +19,16 @@ from tessera.sources.shipping import ship
 
 @dataclass
 class Index:
+    """Tables of an index. What may grow without bound for one entity, relationship or community stands in long tables:
+    ``mentions`` and ``relationship_mentions`` (key, id, text_unit_id) and ``members`` (community id, level, entity key)."""
+
     units: DataFrame
     entities: DataFrame
     relationships: DataFrame
     communities: DataFrame
+    mentions: DataFrame
+    relationship_mentions: DataFrame
+    members: DataFrame
     unit_vectors: DataFrame
     community_vectors: DataFrame
     entity_vectors: DataFrame
@@ -36,16 +42,21 @@ def build_index(records: DataFrame, options: Settings | None = None, method: str
     o = options or Settings()
     units = chunk.text_units(sinks.texts(records).select("source_file", "body", "source_video", "start_time", "end_time", "slide_image"), o.chunk_size, o.overlap)
     units = saved(units.withColumn("ord", F.struct("source_file", "i")), "units")
-    entities = saved(resolve.merge_entities(extract.rule_entities(units)), "entities")
-    relationships = saved(resolve.merge_relationships(extract.rule_relationships(units), entities), "relationships")
-    units = saved(resolve.unit_entities(entities, units), "units")
+    named = saved(extract.rule_entities(units), "named")
+    entities = saved(resolve.entity_rows(named), "entities")
+    mentions = saved(resolve.entity_mentions(named), "mentions")
+    related = saved(extract.rule_relationships(units), "related")
+    relationships = saved(resolve.relationship_rows(related, entities), "relationships")
+    held = resolve.relationship_mentions(related).join(relationships.select("key"), "key", "left_semi")
+    held = saved(held.select("key", "id", "text_unit_id"), "relationship_mentions")
+    units = saved(resolve.unit_entities(entities, units, mentions), "units")
     edges = saved(graph.entity_graph(relationships, entities), "edges")
     nodes = entities.select(F.col("key").alias("node"))
     found = {"components": graph.components, "labels": graph.label_propagation, "louvain": lambda n, e: graph.louvain_or_labels(n, e, o.resolution)}[method](nodes, edges)
-    groups = communities.assemble(found.toDF("node", "community"), entities)
-    groups = saved(reported(groups, report), "communities")
+    belong = saved(communities.members(found.toDF("node", "community"), entities), "members")
+    groups = saved(reported(communities.described(belong, entities), report), "communities")
     tables = [saved(vectors.vector_table(rows, kind), "vectors") for rows, kind in ((units, "text_units"), (groups, "communities"), (entities, "entities"))]
-    return Index(units, entities, relationships, groups, *tables)
+    return Index(units, entities, relationships, groups, mentions, held, belong, *tables)
 
 
 def similar_entities(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -109,6 +120,19 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     return Index(**tables)
 
 
+def _evidence(index: Index, ranked: DataFrame) -> DataFrame:
+    """(id, entities, source_refs): members and sources of the communities found, as a chunk lists them; of no other."""
+    belong = saved(index.members.join(ranked.select("id").distinct(), "id", "left_semi").select("id", "key"), "found_members")
+    e = F.struct("key", "name", "type", "description").alias("e")
+    who = belong.join(index.entities.select("key", e), "key").groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    plain = F.transform("es", lambda x: F.struct(x["name"].alias("name"), x.type.alias("type"), x.description.alias("description")))
+    tu = belong.join(index.mentions.select("key", F.col("text_unit_id").alias("tu")), "key").select("id", "tu").distinct()
+    places = index.units.select(F.col("id").alias("tu"), "source_video", "start_time", "end_time")
+    ref = F.struct(F.col("tu").alias("text_unit_id"), "source_video", "start_time", "end_time")
+    where = tu.join(places, "tu").groupBy("id").agg(F.array_sort(F.collect_list(ref)).alias("source_refs"))
+    return who.select("id", plain.alias("entities")).join(where, "id", "left")
+
+
 def ask(index: Index, questions: DataFrame, options: Settings | None = None, meetings: list[str] = (), classify: backends.Complete | None = None, complete: backends.Complete | None = None) -> dict[str, DataFrame]:
     """Answers of a batch of ``questions`` (query_id, query): classified, searched, organised, answered and cited. Models
     that classify and answer are plugged in; without them both are by rule."""
@@ -120,13 +144,10 @@ def ask(index: Index, questions: DataFrame, options: Settings | None = None, mee
     local, wide = rows.where("query_type = 'local'"), rows.where("query_type = 'global'")
     found = vectors.top_k_batched(index.unit_vectors, local, k, "id", "query_id", "vector")
     hits = found.join(index.units.select("id", "text", "source_video", "start_time", "end_time"), "id")
-    hits = search.in_meetings(search.related_entities(hits, index.entities), list(meetings))
+    hits = search.in_meetings(search.related_entities(hits, index.entities, mentions=index.mentions), list(meetings))
     pool = vectors.top_k_batched(index.community_vectors, wide, 2 * o.top_k, "id", "query_id", "vector")
-    ranked = search.global_search(pool, index.communities, graph.adjacency(index.relationships), o.top_k, o.hops)
-    members = F.transform("entities", lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["description"].alias("description"))).alias("entities")
-    refs = index.communities.select("id", F.explode("text_unit_ids").alias("tu")).join(index.units.select(F.col("id").alias("tu"), "source_video", "start_time", "end_time"), "tu")
-    first = refs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.col("tu").alias("text_unit_id"), "source_video", "start_time", "end_time"))).alias("source_refs"))
-    groups = ranked.join(index.communities.select("id", "title", "summary", members), "id").join(first, "id", "left")
+    ranked = saved(search.global_search(pool, index.members, graph.adjacency(index.relationships), o.top_k, o.hops), "ranked")
+    groups = ranked.join(index.communities.select("id", "title", "summary"), "id").join(_evidence(index, ranked), "id", "left")
     groups = search.any_in_meetings(groups, list(meetings))
     chunks = organize.unit_chunks(hits).unionByName(organize.community_chunks(groups))
     chunks = saved(organize.organize(chunks, o.cutoff, o.dedup, o.max_chunks), "chunks")

@@ -26,7 +26,7 @@ def _stripped(x: str) -> str:
 
 
 def _relationships(t: Tables) -> DataFrame:
-    return resolve.merge_relationships(t.relationships(), t.entities())
+    return resolve.relationship_rows(t.relationships(), t.entities())
 
 
 def _one_of(column: str, *values: str | None):
@@ -61,7 +61,7 @@ def adjacency(t):
 UNION ALL SELECT 'RELATED_TO', source, target FROM related
 UNION ALL SELECT DISTINCT 'BELONGS_TO', lower(name) || '|CONCEPT', substr(lower(name), 1, 1) FROM names""")
 def property_edges(t):
-    return sinks.property_edges(t.entities(), _relationships(t), t.communities())
+    return sinks.property_edges(t.entities(), _relationships(t), t.communities(), t.mentions())
 
 
 @query(f"WITH {PAIRS} SELECT source, target, weight FROM edges WHERE substr(source, 1, 1) NOT IN ('s', 'm') AND substr(target, 1, 1) NOT IN ('s', 'm')")
@@ -97,7 +97,8 @@ c AS (SELECT substr(key, 1, 1) AS letter, substr(md5(min(key)), 1, 8) AS id, lis
 SELECT letter, 'Community ' || id || chr(10) || array_to_string(keys[1:5], ', ') AS embed_text FROM c""")
 def community_embed_texts(t):
     found = t.entities()
-    groups = communities.reports(communities.assemble(found.select(F.col("key").alias("node"), F.substring("key", 1, 1).alias("community")), found))
+    belong = communities.members(found.select(F.col("key").alias("node"), F.substring("key", 1, 1).alias("community")), found)
+    groups = communities.reports(communities.described(belong, found))
     return groups.select(F.substring(F.col("entity_names")[0], 1, 1).alias("letter"), vectors.EMBED_TEXTS["communities"]().alias("embed_text"))
 
 
@@ -106,7 +107,7 @@ n AS (SELECT DISTINCT doc_id, lower(name) AS canonical FROM names)
 SELECT d.doc_id, md5(coalesce(string_agg(first.name, ',' ORDER BY o.ord), '')) AS related FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (canonical) LEFT JOIN o USING (canonical) GROUP BY d.doc_id""")
 def related_entities(t):
     """The entities of every unit, in the order in which they came first."""
-    hits = search.related_entities(t.units().select("id", F.col("ord").alias("doc_id")), t.entities())
+    hits = search.related_entities(t.units().select("id", F.col("ord").alias("doc_id")), t.entities(), mentions=t.mentions())
     return hits.select("doc_id", F.md5(F.array_join(F.transform("related_entities", lambda e: e["name"]), ",")).alias("related"))
 
 

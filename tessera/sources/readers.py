@@ -120,7 +120,7 @@ def index_table(spark: SparkSession, folder: str, name: str, schema: str) -> Dat
 
 
 #: Tables of an index that a build saves, and one row of counts beside them.
-INDEX_TABLES = ["units", "entities", "relationships", "communities", "unit_vectors", "community_vectors", "entity_vectors", "meta"]
+INDEX_TABLES = ["units", "entities", "relationships", "communities", "mentions", "relationship_mentions", "members", "unit_vectors", "community_vectors", "entity_vectors", "meta"]
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

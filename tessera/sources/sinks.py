@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.resolve import last_by
+from tessera.operators.communities import member_rows
+from tessera.operators.resolve import last_by, mention_rows
 
 
 def record_text(unknown: str = "unknown") -> Column:
@@ -45,11 +46,11 @@ def graph_edges(relationships: DataFrame) -> DataFrame:
     return relationships.select("source", "target", "rel_type", "weight", "is_directional", "description")
 
 
-def property_edges(entities: DataFrame, relationships: DataFrame, communities: DataFrame) -> DataFrame:
+def property_edges(entities: DataFrame, relationships: DataFrame, communities: DataFrame, mentioned: DataFrame | None = None) -> DataFrame:
     """(kind, source, target) edges of a property graph: units mention entities, entities relate, members belong."""
-    mentions = entities.select(F.lit("MENTIONS").alias("kind"), F.explode("text_unit_ids").alias("source"), F.col("id").alias("target"))
+    mentions = mention_rows(entities, mentioned).select(F.lit("MENTIONS").alias("kind"), F.col("text_unit_id").alias("source"), F.col("id").alias("target"))
     relate = relationships.select(F.lit("RELATED_TO").alias("kind"), "source", "target")
-    belong = communities.select(F.lit("BELONGS_TO").alias("kind"), F.explode("entity_names").alias("source"), F.col("id").alias("target"))
+    belong = member_rows(communities).select(F.lit("BELONGS_TO").alias("kind"), F.col("key").alias("source"), F.col("id").alias("target"))
     return mentions.unionByName(relate).unionByName(belong)
 
 

@@ -83,6 +83,31 @@ def test_resolution(spark):
     assert groups[0].entity_count == 2 and groups[0].summary == "http/3|PROTOCOL, quic|OTHER" and groups[0].text_unit_ids == ["u1", "u2"]
 
 
+def test_long_tables_say_what_lists_say(spark):
+    e, r = found(spark)
+    mentions, entities = resolve.entity_mentions(e), resolve.entity_rows(e)
+    lists = {x.key: x.text_unit_ids for x in resolve.merge_entities(e).collect()}
+    assert {(k, u) for k, us in lists.items() for u in us} == {(x.key, x.text_unit_id) for x in mentions.collect()}
+    assert {x.key: x.units for x in resolve.unit_counts(resolve.relationship_mentions(r)).collect()}["http/3|USES|quic"] == 2
+    units = spark.createDataFrame([("u1",), ("u2",), ("none",)], "id string")
+    short = resolve.unit_entities(resolve.merge_entities(e), units).orderBy("id").collect()
+    assert resolve.unit_entities(entities, units, mentions).orderBy("id").collect() == short and short[0].entity_ids == []
+
+
+def test_large_community_shows_its_first_members(spark):
+    rows = [(f"Name{i:03d}", "x", "", f"u{i % 7}", i) for i in range(60)] + [("Single", "x", "", None, 99)]
+    e = spark.createDataFrame(rows, "name string, type string, description string, text_unit_id string, ord int")
+    entities = resolve.entity_rows(e)
+    partition = entities.select(F.col("key").alias("node"), F.when(F.col("canonical") == "single", "s").otherwise("n").alias("community"))
+    belong = communities.members(partition, entities)
+    got = {x.entity_count: x for x in communities.reports(communities.described(belong, entities)).collect()}
+    whole = {x.entity_count: x for x in communities.reports(communities.assemble(partition, resolve.merge_entities(e))).collect()}
+    assert set(got) == set(whole) == {60, 1} and belong.count() == 61 and whole[1].text_unit_ids == []
+    for n, x in got.items():
+        assert (x.id, x.title, x.summary, x.report_input, x.entities) == (whole[n].id, whole[n].title, whole[n].summary, whole[n].report_input, whole[n].entities[:20])
+    assert communities.member_rows(communities.assemble(partition, resolve.merge_entities(e))).count() == 61
+
+
 def test_expansion(spark):
     edges = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "d", 4.0)], "source string, target string, weight double")
     seeds = spark.createDataFrame([(1, "a"), (2, "d")], "query_id int, node string")
