@@ -304,9 +304,21 @@ def connected_components(t):
     return graph.components(docs.select(F.col("doc_id").alias("node")), chain)
 
 
-@query()
+def _label_rounds(rounds: int) -> str:
+    """SQL of rounds of label propagation: the label of most weight around a node, ties to the smaller, if it is smaller."""
+    sql = ""
+    for i in range(1, rounds + 1):
+        sql += f""", votes{i} AS (SELECT a.node, l.label, sum(a.weight) AS w FROM around a JOIN label{i - 1} l ON l.node = a.neighbour GROUP BY a.node, l.label),
+won{i} AS (SELECT node, arg_min(label, (-w, label)) AS label FROM votes{i} GROUP BY node),
+label{i} AS MATERIALIZED (SELECT l.node, least(l.label, coalesce(w.label, l.label)) AS label FROM label{i - 1} l LEFT JOIN won{i} w ON w.node = l.node)"""
+    return sql
+
+
+@query(f"""WITH {PAIRS}, around AS MATERIALIZED (SELECT node, neighbour, sum(weight) AS weight FROM adjacent WHERE node <> neighbour GROUP BY node, neighbour),
+label0 AS MATERIALIZED (SELECT DISTINCT lower(name) AS node, lower(name) AS label FROM names){_label_rounds(5)}
+SELECT label AS community, count(*) AS members FROM label5 GROUP BY label""")
 def label_communities(t):
-    """Label propagation over the graph of names: repeatable, but no SQL says the same."""
+    """Label propagation over the graph of names, in five rounds."""
     edges = saved(graph.collapsed(t.edges()), "edges")
     nodes = t.entities().select(F.col("canonical").alias("node"))
     return graph.label_propagation(nodes, edges).groupBy("community").agg(F.count("*").alias("members"))
@@ -484,7 +496,15 @@ def greedy_dedup(t):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(f"""WITH {_TOP}, {NAMES}, e AS (SELECT query_id, place, idx, n.name FROM best b JOIN names n ON n.doc_id = b.vec_id),
+keyed AS (SELECT query_id, arg_min(name, (CASE WHEN length(name) > 6 THEN 0 ELSE 1 END, place, idx)) AS name, count(*) AS frequency, min((place, idx)) AS first FROM e GROUP BY query_id, lower(name)),
+keys AS (SELECT query_id, '  ' || name || ' (CONCEPT)' || CASE WHEN length(name) > 6 THEN ' — long' ELSE '' END AS line, row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, first) AS rank FROM keyed),
+lists AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS names FROM keys WHERE rank <= 10 GROUP BY query_id),
+shown AS (SELECT query_id, place, string_agg(name || '(CONCEPT)', ', ' ORDER BY idx) AS names FROM e WHERE idx <= 3 GROUP BY query_id, place),
+sections AS (SELECT query_id, place, concat_ws(chr(10), '[CHUNK_ID: ' || CAST(vec_id AS VARCHAR) || ']  (text_unit)', CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || '...' ELSE text END,
+ 'Entities: ' || names, '[SOURCE: ' || video || '  ' || printf('%.1fs-%.1fs', vec_id::DOUBLE, vec_id + 1.0::DOUBLE) || ']') AS section FROM best LEFT JOIN shown USING (query_id, place)),
+bodies AS (SELECT query_id, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS body FROM sections GROUP BY query_id)
+SELECT query_id, concat_ws(chr(10) || chr(10), body, 'KEY ENTITIES:' || chr(10) || names) AS prompt FROM bodies LEFT JOIN lists USING (query_id)""")
 def prompt_texts(t):
     chunks = saved(_chunks(t), "chunks")
     return organize.prompt_text(chunks, organize.consolidated_entities(chunks))
