@@ -48,6 +48,17 @@ def _mentions(rows: DataFrame) -> DataFrame:
     return rows.where("text_unit_id is not null").select("key", "text_unit_id").distinct().withColumn("id", X.md5_id(F.col("key"), 12))
 
 
+def _merged(rows: DataFrame, columns: tuple[str, ...], first: str, *sums: Column) -> DataFrame:
+    """A row for each key: ``first`` of the first mention, sums, ord, and units, the number of different text units.
+
+    Mentions are summed up by unit and then by key, so a hot key is spread over its units. Values of the first mention
+    can't be summed up in a hash table, so Spark sorts; a hash of the key leads the order, and settles most comparisons.
+    """
+    least = lambda *more: (F.min_by(first, "ord").alias(first), F.min("ord").alias("ord"), *sums, *more)
+    by_unit = rows.groupBy(F.xxhash64(*columns).alias("h"), *columns, "text_unit_id").agg(*least())
+    return by_unit.groupBy("h", *columns).agg(*least(F.count("text_unit_id").alias("units"))).drop("h")
+
+
 def _descriptions(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(key, descriptions): the different descriptions that are not empty, in order. Each is reduced to its first place
     before, so a group gathers descriptions and not mentions."""
@@ -83,12 +94,12 @@ def mention_rows(entities: DataFrame, mentions: DataFrame | None = None) -> Data
 
 def entity_rows(found: DataFrame) -> DataFrame:
     """``found`` (name, type, description, text_unit_id, ord) by canonical name and type: first spelling, descriptions
-    folded in order. The text units are in :func:`entity_mentions`."""
+    folded in order, number of text units. Which units is in :func:`entity_mentions`."""
     rows = _named_entities(found)
-    merged = rows.groupBy(*ENTITY_KEY).agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
+    merged = _merged(rows, ENTITY_KEY, "name")
     merged = merged.withColumn("key", _key(ENTITY_KEY)).join(_descriptions(rows, ENTITY_KEY), "key", "left")
     description = F.coalesce(folded(F.col("descriptions")), F.lit("")).alias("description")
-    return merged.select(X.md5_id(F.col("key"), 12).alias("id"), "name", F.col("kind").alias("type"), description, "canonical", "key", "ord")
+    return merged.select(X.md5_id(F.col("key"), 12).alias("id"), "name", F.col("kind").alias("type"), description, "canonical", "key", "ord", "units")
 
 
 def merge_entities(found: DataFrame) -> DataFrame:
@@ -98,12 +109,10 @@ def merge_entities(found: DataFrame) -> DataFrame:
 
 def relationship_rows(found: DataFrame, entities: DataFrame) -> DataFrame:
     """``found`` (source, target, rel_type, description, weight, text_unit_id, ord) between known entities, by canonical
-    ends and type: weights summed, different descriptions in order. The text units are in :func:`relationship_mentions`."""
+    ends and type: weights summed, different descriptions in order, number of text units. Which units is in :func:`relationship_mentions`."""
     rows = _named_relationships(found)
     # the ends are looked up after mentions are summed up, so that as few rows as possible are joined
-    merged = rows.groupBy(*RELATIONSHIP_KEY).agg(
-        F.min_by(F.struct("source", "target"), "ord").alias("ends"), F.sum("weight").alias("weight"), F.min("ord").alias("ord")
-    )
+    merged = _merged(rows.withColumn("ends", F.struct("source", "target")), RELATIONSHIP_KEY, "ends", F.sum("weight").alias("weight"))
     names = entities.select("canonical").distinct()
     for end in ("cs", "ct"):
         merged = merged.join(names.withColumnRenamed("canonical", end), end, "left_semi")
@@ -111,7 +120,7 @@ def relationship_rows(found: DataFrame, entities: DataFrame) -> DataFrame:
     merged = merged.withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
     return merged.select(
         X.md5_id(F.col("key"), 12).alias("id"), "ends.source", "ends.target", F.col("kind").alias("rel_type"), F.array_join("descriptions", "; ").alias("description"),
-        "weight", X.is_directional("kind").alias("is_directional"), "descriptions", F.col("cs").alias("source_name"), F.col("ct").alias("target_name"), "ord", "key",
+        "weight", X.is_directional("kind").alias("is_directional"), "descriptions", F.col("cs").alias("source_name"), F.col("ct").alias("target_name"), "ord", "key", "units",
     )
 
 

@@ -247,14 +247,12 @@ def source_headers(t):
 
 @query(f"WITH {ENTITIES} SELECT canonical, name, CAST(units AS BIGINT) AS units, substr(md5(canonical || '|CONCEPT'), 1, 12) AS id FROM entities")
 def merge_entities(t):
-    return t.entities().join(resolve.unit_counts(t.mentions()), "key").select("canonical", "name", "units", "id")
+    return t.entities().select("canonical", "name", "units", "id")
 
 
 @query(f"WITH {PAIRS} SELECT lower(source) AS source_name, lower(target) AS target_name, CAST(count(*) AS DOUBLE) AS weight, count(DISTINCT unit) AS units, substr(md5(lower(source) || '|RELATED_TO|' || lower(target)), 1, 12) AS id FROM pairs GROUP BY 1, 2")
 def merge_relationships(t):
-    found = saved(t.relationships(), "found")
-    counts = resolve.unit_counts(resolve.relationship_mentions(found))
-    return resolve.relationship_rows(found, t.entities()).join(counts, "key").select("source_name", "target_name", "weight", "units", "id")
+    return resolve.relationship_rows(t.relationships(), t.entities()).select("source_name", "target_name", "weight", "units", "id")
 
 
 @query(f"WITH {NAMES}, e AS (SELECT DISTINCT unit, substr(md5(lower(name) || '|CONCEPT'), 1, 12) AS id FROM names) SELECT u.id, md5(coalesce(string_agg(e.id, ',' ORDER BY e.id), '')) AS entities FROM (SELECT substr(md5('doc:' || CAST(doc_id AS VARCHAR)), 1, 16) AS id FROM documents) u LEFT JOIN e ON e.unit = u.id GROUP BY u.id")
