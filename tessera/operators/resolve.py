@@ -36,6 +36,8 @@ def _named_relationships(found: DataFrame) -> DataFrame:
     return found.withColumns({"cs": X.canonical_name("source"), "ct": X.canonical_name("target"), "kind": X.relation_type("rel_type")})
 
 
+#: Names are sent to every task up to so many bytes, as measured; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: An entity's and a relationship's key.
 ENTITY_KEY, RELATIONSHIP_KEY = ("canonical", "kind"), ("cs", "kind", "ct")
 
@@ -54,9 +56,11 @@ def _merged(rows: DataFrame, columns: tuple[str, ...], first: str, *sums: Column
     Mentions are summed up by unit and then by key, so a hot key is spread over its units. Values of the first mention
     can't be summed up in a hash table, so Spark sorts; a hash of the key leads the order, and settles most comparisons.
     """
-    least = lambda *more: (F.min_by(first, "ord").alias(first), F.min("ord").alias("ord"), *sums, *more)
-    by_unit = rows.groupBy(F.xxhash64(*columns).alias("h"), *columns, "text_unit_id").agg(*least())
-    return by_unit.groupBy("h", *columns).agg(*least(F.count("text_unit_id").alias("units"))).drop("h")
+    rows = rows.withColumn("head", F.struct("ord", first))
+    least = F.min("head").alias("head")
+    by_unit = rows.groupBy(F.xxhash64(*columns).alias("h"), *columns, "text_unit_id").agg(least, *sums)
+    merged = by_unit.groupBy("h", *columns).agg(least, *sums, F.count("text_unit_id").alias("units"))
+    return merged.withColumns({"ord": F.col("head.ord"), first: F.col(f"head.{first}")}).drop("h", "head")
 
 
 def _descriptions(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -111,9 +115,11 @@ def relationship_rows(found: DataFrame, entities: DataFrame) -> DataFrame:
     """``found`` (source, target, rel_type, description, weight, text_unit_id, ord) between known entities, by canonical
     ends and type: weights summed, different descriptions in order, number of text units. Which units is in :func:`relationship_mentions`."""
     rows = _named_relationships(found)
-    # the ends are looked up after mentions are summed up, so that as few rows as possible are joined
     merged = _merged(rows.withColumn("ends", F.struct("source", "target")), RELATIONSHIP_KEY, "ends", F.sum("weight").alias("weight"))
+    # the ends are looked up after mentions are summed up, so that as few rows as possible are joined
     names = entities.select("canonical").distinct()
+    length = names.agg(F.sum(F.octet_length("canonical") + 16)).first()[0] or 0
+    names = F.broadcast(names) if length <= BROADCAST_BYTES else names.hint("merge")
     for end in ("cs", "ct"):
         merged = merged.join(names.withColumnRenamed("canonical", end), end, "left_semi")
     merged = merged.withColumn("key", _key(RELATIONSHIP_KEY)).join(_descriptions(rows, RELATIONSHIP_KEY), "key", "left")

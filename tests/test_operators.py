@@ -94,6 +94,14 @@ def test_long_tables_say_what_lists_say(spark):
     assert resolve.unit_entities(entities, units, mentions).orderBy("id").collect() == short and short[0].entity_ids == []
 
 
+def test_ends_are_looked_up_alike_whatever_their_number(spark, monkeypatch):
+    e, r = found(spark)
+    few = resolve.relationship_rows(r, resolve.entity_rows(e)).orderBy("key").collect()
+    monkeypatch.setattr(resolve, "BROADCAST_BYTES", 0)
+    assert resolve.relationship_rows(r, resolve.entity_rows(e)).orderBy("key").collect() == few
+    assert {x.key: (x.units, x.weight, x.source) for x in few} == {"http/3|USES|quic": (2, 3.0, "HTTP/3"), "http/3|RELATED_TO|quic": (1, 1.0, "HTTP/3")}
+
+
 def test_large_community_shows_its_first_members(spark):
     rows = [(f"Name{i:03d}", "x", "", f"u{i % 7}", i) for i in range(60)] + [("Single", "x", "", None, 99)]
     e = spark.createDataFrame(rows, "name string, type string, description string, text_unit_id string, ord int")
