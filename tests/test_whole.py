@@ -79,3 +79,14 @@ def test_index_splits_a_component_into_communities(spark):
     texts = [f"{a} meets {b}." for g in ("Alpha Bravo Charlie Delta", "Kilogram Lima Mike November") for a, b in combinations(g.split(), 2)] + ["Alpha meets Kilogram."]
     records = spark.createDataFrame([(str(i), "m.mp4", float(i), i + 1.0, "", None, t, "", i) for i, t in enumerate(texts)], readers.RECORD.rsplit(", extracted", 1)[0] + ", ord int")
     assert sorted(r.entity_count for r in flows.build_index(records).communities.where("entity_count > 1").collect()) == [4, 4]
+
+
+def test_index_writes_texts_once(spark):
+    """Units' texts are in one table, and mentions of relationships are read out of them when asked for."""
+    texts = ["Alpha meets Bravo.", "Bravo meets Charlie and Alpha."]
+    records = spark.createDataFrame([(str(i), "m.mp4", float(i), i + 1.0, "", None, t, "", i) for i, t in enumerate(texts)], readers.RECORD.rsplit(", extracted", 1)[0] + ", ord int")
+    index = flows.build_index(records)
+    assert index.unit_vectors.columns == ["id", "vector"] and not hasattr(index.relationship_mentions, "saved_at")
+    held = index.relationship_mentions.join(index.relationships.select("key", "units"), "key").groupBy("key", "units").count().collect()
+    assert held and len(held) == index.relationships.count() and all(r["units"] == r["count"] for r in held)
+    assert index.unit_vectors.join(index.units, "id").count() == index.units.count() == 2
